@@ -123,9 +123,7 @@ def build_graph(files: DataFrame, max_dropped: int | None = None) -> CodeGraph:
     index = resolution.module_index(files)
     refs = resolution.import_refs(parsed)
     imports = resolution.resolve_imports(refs, index, max_dropped)
-    calls, unresolved = resolution.resolve_calls(
-        resolution.call_refs(parsed), symbols, resolution.import_aliases(refs), index, max_dropped
-    )
+    calls, unresolved = resolution.resolve_calls(resolution.call_refs(parsed), symbols, index, max_dropped)
     modules = resolution.external_modules(parsed)
     routes = text_patterns.extract_routes(files)
     models = text_patterns.extract_db_refs(files, symbols)

@@ -39,54 +39,25 @@ def module_index(files: DataFrame) -> DataFrame:
     )
 
 
-def _import_statements(parsed: DataFrame) -> DataFrame:
-    """Imports with relative modules made absolute."""
-    base = F.filter(F.split(text.parent(F.col("file")), "/"), lambda p: p != "")
-    up = F.size(base) - (F.col("level") - 1)
-    # A level that climbs past the root keeps what a negative slice end keeps.
-    kept = F.when(up >= 0, up).otherwise(F.greatest(F.size(base) + up, F.lit(0)))
-    package = F.slice(base, 1, F.least(kept, F.size(base)))
-    absolute = _dotted(
-        F.filter(F.array(_dotted(package), F.col("module")), lambda p: p != "")
-    )
-    return parsed.where(F.col("kind") == "import").select(
-        "repo_key",
-        "file",
-        "is_from",
-        "imported",
-        "asname",
-        "ord",
-        F.col("line_start").alias("line"),
-        F.when(F.col("level") > 0, absolute).otherwise(F.col("module")).alias("module"),
-    )
-
-
 def import_refs(parsed: DataFrame) -> DataFrame:
     """What each import may refer to, and the local name it binds.
 
     ``import a.b`` proposes ``a.b`` and binds ``a``; ``from m import x`` proposes
     ``m`` and ``m.x`` and binds ``x`` to ``m.x``.
     """
-    module, imported = F.col("module"), F.col("imported")
-    member = F.when(module == "", imported).otherwise(F.concat(module, F.lit("."), imported))
-    first = F.substring_index(module, ".", 1)
-    candidates = F.when(
-        F.col("is_from"),
-        F.when(module == "", F.array(member)).otherwise(F.array(module, member)),
-    ).otherwise(F.array(module))
-    alias = F.coalesce("asname", F.when(F.col("is_from"), imported).otherwise(first))
-    dotted = (
-        F.when(F.col("is_from"), member)
-        .when(F.col("asname").isNotNull(), module)
-        .otherwise(first)
+    module = F.col("module")
+    candidates = (
+        F.when(~F.col("is_from"), F.array(module))
+        .when(module == "", F.array("dotted"))
+        .otherwise(F.array(module, "dotted"))
     )
-    return _import_statements(parsed).select(
+    return parsed.where(F.col("kind") == "import").select(
         "repo_key",
         "file",
         F.explode(candidates).alias("candidate"),
-        alias.alias("alias"),
-        dotted.alias("dotted"),
-        "line",
+        F.col("asname").alias("alias"),
+        "dotted",
+        F.col("line_start").alias("line"),
         "ord",
     )
 
@@ -95,8 +66,7 @@ def external_modules(parsed: DataFrame) -> DataFrame:
     """(file, first component) of every import, with an id of its own space."""
     module = F.col("module")
     return (
-        _import_statements(parsed)
-        .where(module != "")
+        parsed.where((F.col("kind") == "import") & (module != ""))
         .select(
             "repo_key",
             "file",
@@ -144,32 +114,36 @@ def resolve_imports(refs: DataFrame, index: DataFrame, max_dropped: int | None =
     )
 
 
-def import_aliases(refs: DataFrame) -> DataFrame:
-    """Local name -> dotted name per file; the last binding of a name holds."""
-    return refs.groupBy("repo_key", "file", "alias").agg(F.max_by("dotted", "ord").alias("dotted"))
-
-
-def resolve_symbols(names: DataFrame, index: DataFrame, defined: DataFrame, max_dropped: int | None = None) -> DataFrame:
+def resolve_symbols(names: DataFrame, index: DataFrame, symbols: DataFrame, max_dropped: int | None = None) -> DataFrame:
     """Distinct (repo_key, name) -> symbol of the longest module prefix that exists.
 
-    When that module has no such symbol, the module file itself is the target; a
-    name that is wholly a module comes last.
+    When that module has no such function, the module file itself is the target;
+    the whole name as a module comes last.  All (prefix, dropped) pairs of a name
+    meet the index in one join.
     """
     parts = F.split("name", "\\.")
     n = F.size(parts)
-    cuts = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda c: F.struct(
-            # The whole name is tried after every proper prefix.
-            F.when(c == n, F.lit(0)).otherwise(c).alias("strength"),
-            _dotted(F.slice(parts, 1, c)).alias("module"),
-            _dotted(F.slice(parts, c + 1, n - c)).alias("symbol"),
-        ),
-    )
-    tried = names.select("repo_key", "name").distinct().select("repo_key", "name", F.inline(cuts))
-    modules = resolve_names(tried.select("repo_key", F.col("module").alias("name")), index, max_dropped)
+
+    def tries_of(cut_at: Column) -> Column:
+        last = cut_at - 1 if max_dropped is None else F.least(cut_at - 1, F.lit(max_dropped))
+        return F.transform(
+            F.sequence(F.lit(0), last),
+            lambda dropped: F.struct(
+                # The whole name is tried after every proper prefix.
+                F.struct(
+                    F.when(cut_at == n, F.lit(0)).otherwise(cut_at).alias("prefix"),
+                    (-dropped).alias("kept"),
+                ).alias("strength"),
+                _dotted(F.slice(parts, dropped + 1, cut_at - dropped)).alias("key"),
+                _dotted(F.slice(parts, cut_at + 1, n - cut_at)).alias("symbol"),
+            ),
+        )
+
     best = (
-        tried.join(modules.withColumnRenamed("name", "module"), ["repo_key", "module"])
+        names.select("repo_key", "name")
+        .distinct()
+        .select("repo_key", "name", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), n), tries_of))))
+        .join(index, ["repo_key", "key"])
         .groupBy("repo_key", "name")
         .agg(F.max_by(F.struct("target", "symbol"), "strength").alias("hit"))
         .select(
@@ -179,9 +153,13 @@ def resolve_symbols(names: DataFrame, index: DataFrame, defined: DataFrame, max_
             F.concat("hit.target", F.lit("::"), "hit.symbol").alias("symbol_id"),
         )
     )
-    return best.join(
-        defined.withColumn("is_symbol", F.lit(True)), ["repo_key", "symbol_id"], "left"
-    ).select(
+    defined = (
+        symbols.where(F.col("kind") == "Function")
+        .select("repo_key", "symbol_id")
+        .distinct()
+        .withColumn("is_symbol", F.lit(True))
+    )
+    return best.join(defined, ["repo_key", "symbol_id"], "left").select(
         "repo_key",
         "name",
         F.when(F.col("is_symbol"), F.col("symbol_id")).otherwise(F.col("target_file")).alias("target"),
@@ -190,80 +168,45 @@ def resolve_symbols(names: DataFrame, index: DataFrame, defined: DataFrame, max_
 
 
 def call_refs(parsed: DataFrame) -> DataFrame:
-    """Distinct call shapes per caller."""
-    return (
-        parsed.where(F.col("kind") == "call")
-        .select(
-            "repo_key",
-            "file",
-            F.concat("file", F.lit("::"), "qualified_name").alias("caller_id"),
-            "owner_class",
-            "chain",
-        )
-        .distinct()
+    """Call shapes per caller, settled as far as the file alone can."""
+    return parsed.where(F.col("kind") == "call").select(
+        "repo_key",
+        "file",
+        F.concat("file", F.lit("::"), "qualified_name").alias("caller_id"),
+        "owner_class",
+        "chain",
+        "local_target",
+        "dotted",
+        F.col("line_start").alias("line"),
     )
 
 
 def resolve_calls(
-    calls: DataFrame,
-    symbols: DataFrame,
-    aliases: DataFrame,
-    index: DataFrame,
-    max_dropped: int | None = None,
+    calls: DataFrame, symbols: DataFrame, index: DataFrame, max_dropped: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(resolved call edges, unresolved calls).
 
-    A name or a ``self``/``cls`` method of the same file wins; otherwise an
-    imported alias plus the attribute chain is resolved as a dotted name.
+    A name or a ``self``/``cls`` method of the same file is settled already;
+    only imported names are joined.  Edges may repeat when a caller uses two
+    spellings of one target.
     """
-    defined = symbols.where(F.col("kind") == "Function").select("repo_key", "symbol_id").distinct()
-    chain = F.col("chain")
-    first = F.get(chain, F.lit(0))
-    on_self = first.isin("self", "cls") & F.col("owner_class").isNotNull() & (F.size(chain) == 2)
-    local_name = F.when(on_self, F.concat("owner_class", F.lit("."), F.get(chain, F.lit(1)))).when(
-        F.size(chain) == 1, first
-    )
-    tried = calls.select(
-        "*",
-        on_self.alias("on_self"),
-        F.concat("file", F.lit("::"), local_name).alias("symbol_id"),
-    ).join(defined.withColumn("is_local", F.lit(True)), ["repo_key", "symbol_id"], "left")
-    local = tried.where("is_local").select(
-        "repo_key", "file", "caller_id", "chain",
-        F.col("symbol_id").alias("target"), F.col("file").alias("target_file"),
-    )
-    rest = F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(0)))
-    outside = (
-        tried.where(F.col("is_local").isNull())
-        .join(
-            aliases.withColumnRenamed("alias", "first"),
-            (tried["repo_key"] == aliases["repo_key"])
-            & (tried["file"] == aliases["file"])
-            & (first == F.col("first"))
-            & ~tried["on_self"],
-            "left",
-        )
-        .select(
-            tried["repo_key"],
-            tried["file"],
-            "caller_id",
-            "chain",
-            _dotted(F.concat(F.array("dotted"), rest)).alias("name"),
-            F.col("dotted").isNotNull().alias("imported"),
-        )
-    )
-    found = resolve_symbols(outside.where("imported"), index, defined, max_dropped)
-    joined = outside.join(found, ["repo_key", "name"], "left")
-    imported = joined.where(F.col("target").isNotNull()).select(
-        "repo_key", "file", "caller_id", "chain", "target", "target_file"
-    )
+    columns = ["repo_key", "file", "caller_id", "target", "target_file"]
+    local = calls.where(F.col("local_target").isNotNull()).select(
+        "repo_key", "file", "caller_id",
+        F.concat("file", F.lit("::"), "local_target").alias("target"), F.col("file").alias("target_file"),
+    )
+    outside = calls.where(F.col("local_target").isNull()).withColumnRenamed("dotted", "name")
+    imported = outside.where(F.col("name").isNotNull())
+    found = resolve_symbols(imported, index, symbols, max_dropped)
+    joined = imported.join(found, ["repo_key", "name"], "left")
     edges = (
-        local.unionByName(imported)
+        local.unionByName(joined.where(F.col("target").isNotNull()).select(*columns))
         .where(F.col("target") != F.col("caller_id"))
-        .select("repo_key", "file", "caller_id", "target", "target_file")
-        .distinct()
     )
-    unresolved = joined.where(F.col("target").isNull()).select("repo_key", "file", "caller_id", "chain")
+    open_calls = ["repo_key", "file", "caller_id", "chain"]
+    unresolved = outside.where(F.col("name").isNull()).select(*open_calls).unionByName(
+        joined.where(F.col("target").isNull()).select(*open_calls)
+    )
     return edges, unresolved
 
 

@@ -139,14 +139,12 @@ _CALLS = f"""calls AS (
 @query("resolved_calls", f"WITH {sql.FILE_DEPS}, {_CALLS} SELECT file, caller_id, target, target_file FROM calls")
 def resolved_calls(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
-    refs = resolution.import_refs(parsed)
     edges, _ = resolution.resolve_calls(
         resolution.call_refs(parsed),
         python_source.symbols(parsed),
-        resolution.import_aliases(refs),
         resolution.module_index(views.file_names(spark, sf_dir)),
     )
-    return edges.select("file", "caller_id", "target", "target_file")
+    return edges.select("file", "caller_id", "target", "target_file").distinct()
 
 
 @query("unresolved_calls", f"""WITH {sql.FILE_DEPS}
@@ -155,11 +153,9 @@ UNION ALL SELECT path, {sql.symbol('k')}, 'os.environ.get' FROM files WHERE k %
 UNION ALL SELECT path, {sql.symbol('k')}, 'app.get' FROM files WHERE k % 5 = 0 AND k % 97 <> 5""")
 def unresolved_calls(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
-    refs = resolution.import_refs(parsed)
     _, missed = resolution.resolve_calls(
         resolution.call_refs(parsed),
         python_source.symbols(parsed),
-        resolution.import_aliases(refs),
         resolution.module_index(views.file_names(spark, sf_dir)),
     )
     return missed.select("file", "caller_id", F.array_join("chain", ".").alias("call"))

@@ -135,7 +135,9 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_files(code_corpus(spark, sf_dir))
+    """The sources as a files table, spread like the splits of a stored one."""
+    tasks = spark.sparkContext.defaultParallelism
+    return load_files(code_corpus(spark, sf_dir).repartition(tasks, "path"))
 
 
 def c_files(spark: SparkSession, sf_dir: str) -> DataFrame:

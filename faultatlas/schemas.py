@@ -16,8 +16,9 @@ PARSED = (
     "name string, qualified_name string, owner_class string, "
     "line_start int, line_end int, signature string, complexity int, "
     "decorators array<string>, bases array<string>, methods array<string>, "
-    "is_from boolean, module string, level int, imported string, asname string, "
-    "chain array<string>, error_message string, error_column int, error_text string"
+    "is_from boolean, module string, imported string, asname string, "
+    "chain array<string>, local_target string, dotted string, "
+    "error_message string, error_column int, error_text string"
 )
 
 NODES = "repo_key string, node_id string, node_type string, file string, attrs map<string,string>"
@@ -42,7 +43,7 @@ MEMORY = (
 
 APPLIED = (
     "patch_id string, file_path string, new_content string, unified_diff string, "
-    "edits_applied int, edits_total int, errors array<string>, ok boolean"
+    "edits_applied int, edits_total int, errors array<string>, ok boolean, first_seq int"
 )
 
 EVENTS = (

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.functions import text
 from faultatlas.operators.findings import as_findings
 
+# Task code travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _BANDIT = (
     "struct<errors:array<struct<filename:string,reason:string>>,"
     "results:array<struct<issue_severity:string,test_name:string,issue_text:string,"
