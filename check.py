@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL on one scale of the given tables.
 
-    python check.py [--sf 0.01] [name ...]
+    python check.py [--sf 0.01] [query or catalog module ...]
 
 Both results are compared as multisets of rows, columns in name order.
 """
@@ -50,7 +50,12 @@ def main() -> int:
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
     bad = 0
-    for name in args.names or QUERIES:
+    modules = {f.__module__.rsplit(".", 1)[1] for f, _ in QUERIES.values()}
+    names = [
+        n for n in QUERIES
+        if not args.names or n in args.names or QUERIES[n][0].__module__.rsplit(".", 1)[1] in set(args.names) & modules
+    ]
+    for name in names:
         function, sql = QUERIES[name]
         began = time.time()
         try:

@@ -154,18 +154,18 @@ def _best_in_tiles(k: int, threshold: float, skip_same_id: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            hits = []
             for row in batch.itertuples(index=False):
                 ids = np.array(row.ids, dtype=object)
                 asked = np.array(row.query_ids, dtype=object)
                 cosines = np.stack(row.query_vectors) @ np.stack(row.vectors).T
                 if skip_same_id:
                     cosines[asked[:, None] == ids[None, :]] = -2.0
-                hits = []
                 for q, line in enumerate(cosines):
                     good = np.flatnonzero(line >= threshold)
                     best = sorted(good, key=lambda m: (-line[m], ids[m]))[:k]
                     hits.extend((row.repo_key, asked[q], ids[m], float(line[m])) for m in best)
-                yield pd.DataFrame(hits, columns=["repo_key", "query_id", "fix_id", "similarity"])
+            yield pd.DataFrame(hits, columns=["repo_key", "query_id", "fix_id", "similarity"])
 
     return run
 
@@ -185,14 +185,16 @@ def query_similar(
     whose angle less both radii exceeds the threshold angle cannot hold a match and
     is skipped.  The remaining tile pairs are matrix products that emit at most
     ``k`` rows per query, so no pair of vectors becomes a row.  A repository with
-    a third of all rows is simply many tiles.
+    a third of all rows is simply many tiles.  A small memory is one tile per
+    repository.
 
     ``memory`` has (repo_key, fix_id, embedding), ``queries`` (repo_key, query_id,
     embedding).  At most ``pivots`` vectors pass through the driver.
     """
     stored = memory.select("repo_key", F.col("fix_id").alias("id"), F.col("embedding").cast("array<double>"))
     asked = queries.select("repo_key", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>"))
-    sample = stored.orderBy(F.xxhash64("repo_key", "id"), "repo_key", "id").limit(pivots).select("embedding").collect()
+    wanted = max(1, min(pivots, stored.count() // tile_rows))
+    sample = stored.orderBy(F.xxhash64("repo_key", "id"), "repo_key", "id").limit(wanted).select("embedding").collect()
     vectors = [np.array(r[0]) for r in sample if np.linalg.norm(r[0]) > 0]
     result = "repo_key string, query_id string, fix_id string, similarity double"
     if not vectors:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultatlas import schemas
 from faultatlas.functions import text
@@ -241,7 +242,7 @@ def apply_edits(contents: DataFrame, edits: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     """Three lines of context, ``a/`` and ``b/`` headers."""
     return pd.Series([_diff(o, n, p) for o, n, p in zip(old, new, path)])

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultatlas.functions import text
 from faultatlas.operators.findings import as_findings
@@ -48,8 +49,6 @@ COMPILER_ERROR = r"(?dm)^([^:\n]+):(\d+):(?:(\d+):)?\s*(?:fatal )?error:\s*(.+)$
 # Keys under which a model reply may hold its list, in this order.
 REPLY_LIST_KEYS = ["issues", "findings", "results", "candidates"]
 
-_EMPTY = F.lit("")
-
 
 def _or(value: Column, default: str) -> Column:
     return F.coalesce(value, F.lit(default))
@@ -202,7 +201,7 @@ def read_compiler_log(logs: DataFrame, per_file: int = 3) -> DataFrame:
         return F.struct(
             group(1).alias("file"),
             group(2).try_cast("int").alias("line"),
-            F.nullif(group(3), _EMPTY).try_cast("int").alias("column"),
+            F.nullif(group(3), F.lit("")).try_cast("int").alias("column"),
             text.strip(group(4)).alias("message"),
         )
 
@@ -247,7 +246,7 @@ def _first_json_span(candidate: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rescue_json(candidates: pd.Series) -> pd.Series:
     return candidates.map(_first_json_span, na_action="ignore")
 
@@ -259,7 +258,7 @@ def read_model_findings(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     not parse is handed to the bracket search.  Items that are no objects are
     dropped; a reply without any JSON is a reject.
     """
-    reply = F.coalesce("reply", _EMPTY)
+    reply = F.coalesce("reply", F.lit(""))
     fence = r"(?s)```(?:json)?\s*(.*?)```"
     candidate = text.strip(
         F.when(reply.rlike(fence), F.regexp_extract(reply, fence, 1)).otherwise(reply)

@@ -13,9 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from faultatlas import schemas
 from faultatlas.functions.vocabulary import phase_index
-from faultatlas.operators.memory import upsert_fixes
 from faultatlas.plans.layout import top_per
-from faultatlas.sources.tables import read_versioned, write_versioned
+from faultatlas.sources.tables import latest_version, read_versioned, write_versioned
 
 # Event types that report a fixable finding and a proposed change.
 FINDING_EVENT, CHANGE_EVENT = "finding_discovered", "pr_created"
@@ -43,13 +42,17 @@ def phase_progress(events: DataFrame, phases: list[str] | None = None) -> DataFr
     return events.groupBy("job_id").agg(F.max(phase_index(F.col("phase"), phases)).alias("phase_index"))
 
 
-def write_updates(changes: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append the changed rows of a running aggregate, one folder per batch."""
+def append_batches(rows: DataFrame, folder: str, mode: str = "append", trigger: dict | None = None, reduce=None) -> StreamingQuery:
+    """Store every micro-batch in a folder of its own, reduced first if asked.
+
+    A batch costs what it brings, not what is stored already; readers merge.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={batch_id}")
+        kept = reduce(batch) if reduce else batch
+        kept.write.mode("overwrite").parquet(f"{folder}/batches/batch={batch_id}")
 
     return (
-        changes.writeStream.outputMode("update")
+        rows.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/state")
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(store)
@@ -57,64 +60,51 @@ def write_updates(changes: DataFrame, folder: str, trigger: dict | None = None)
     )
 
 
-def read_updates(spark: SparkSession, folder: str, keys: list[str], schema: str) -> DataFrame:
-    """The newest row per key of what ``write_updates`` stored."""
-    stored = spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/updates")
-    return top_per(stored, keys, [F.col("batch").desc()]).drop("batch")
+def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The newest snapshot and the batches after it, with their ``batch`` number."""
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/batches")
+    done = latest_version(spark, f"{folder}/snapshots")
+    if done is None:
+        return rows
+    snapshot = read_versioned(spark, f"{folder}/snapshots", schema).withColumn("batch", F.lit(done).cast("bigint"))
+    return snapshot.unionByName(rows.where(F.col("batch") > done))
 
 
-def merge_feed(feed: DataFrame, batch: DataFrame, k: int = 50) -> DataFrame:
-    """L4: the newest ``k`` events per job of the feed so far and a new batch."""
-    return top_per(
-        feed.unionByName(batch), ["job_id"], [F.col("ts").desc(), F.col("message").desc()], k
-    )
+def compact(spark: SparkSession, folder: str, schema: str, merged: DataFrame) -> None:
+    """Store ``merged`` as the snapshot of all batches so far, run between streams."""
+    last = spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/batches").agg(F.max("batch")).first()[0]
+    if last is not None:
+        write_versioned(merged, f"{folder}/snapshots", last)
 
 
-def write_latest_feed(events: DataFrame, folder: str, k: int = 50, trigger: dict | None = None) -> StreamingQuery:
-    """L4: keep the newest ``k`` events per job as a versioned table.
+def read_updates(spark: SparkSession, folder: str, keys: list[str], schema: str) -> DataFrame:
+    """The newest row per key of a running aggregate stored in update mode."""
+    return top_per(read_batches(spark, folder, schema), keys, [F.col("batch").desc()]).drop("batch")
 
-    The new batch is cut to ``k`` per job before it meets the stored feed.
-    """
-    def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = (
-            spark.read.schema(schemas.EVENTS).parquet(f"{folder}/feed/version={batch_id - 1}")
-            if batch_id
-            else spark.createDataFrame([], schemas.EVENTS)
-        )
-        newest = top_per(batch.select(*old.columns), ["job_id"], [F.col("ts").desc(), F.col("message").desc()], k)
-        write_versioned(merge_feed(old, newest, k), f"{folder}/feed", batch_id)
 
-    return (
-        events.writeStream.option("checkpointLocation", f"{folder}/state")
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(store)
-        .start()
-    )
+def _newest(events: DataFrame, k: int) -> DataFrame:
+    return top_per(events, ["job_id"], [F.col("ts").desc(), F.col("message").desc()], k)
+
+
+def write_latest_feed(events: DataFrame, folder: str, k: int = 50, trigger: dict | None = None) -> StreamingQuery:
+    """L4: store at most the newest ``k`` events per job of every batch."""
+    return append_batches(events, folder, trigger=trigger, reduce=lambda batch: _newest(batch, k))
 
 
-def read_latest_feed(spark: SparkSession, folder: str) -> DataFrame:
-    return read_versioned(spark, f"{folder}/feed", schemas.EVENTS)
+def read_latest_feed(spark: SparkSession, folder: str, k: int = 50) -> DataFrame:
+    """L4: the newest ``k`` events per job."""
+    return _newest(read_batches(spark, folder, schemas.EVENTS).drop("batch"), k)
 
 
 def stream_upsert_fixes(fixes: DataFrame, folder: str, trigger: dict | None = None) -> StreamingQuery:
-    """Apply each batch of fix records to the memory, one version per batch."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = (
-            spark.read.schema(schemas.MEMORY).parquet(f"{folder}/memory/version={batch_id - 1}")
-            if batch_id
-            else spark.createDataFrame([], schemas.MEMORY)
-        )
-        write_versioned(upsert_fixes(old, batch.select(*old.columns)), f"{folder}/memory", batch_id)
+    """Apply fix records to the memory as they land; one row per id and batch."""
+    return append_batches(fixes, folder, trigger=trigger, reduce=_latest_evidence)
 
-    return (
-        fixes.writeStream.option("checkpointLocation", f"{folder}/state")
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(store)
-        .start()
-    )
+
+def _latest_evidence(fixes: DataFrame) -> DataFrame:
+    return top_per(fixes, ["fix_id"], [F.col("validated_at").desc(), F.col("finding_id").desc()])
 
 
 def read_memory(spark: SparkSession, folder: str) -> DataFrame:
-    return read_versioned(spark, f"{folder}/memory", schemas.MEMORY)
+    """The memory as of the last batch; later batches replace earlier ones."""
+    return top_per(read_batches(spark, folder, schemas.MEMORY), ["fix_id"], [F.col("batch").desc()]).drop("batch")
