@@ -248,8 +248,19 @@ def unified_diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([_diff(o, n, p) for o, n, p in zip(old, new, path)])
 
 
-def diff_stats(diffs: DataFrame, column: str = "unified_diff") -> DataFrame:
-    """Added and removed lines of a diff; a line that starts ``+++`` is a header."""
+def _counts(old: str, new: str) -> tuple[int, int]:
+    diff = list(difflib.unified_diff(_unix(old).splitlines(), _unix(new).splitlines(), lineterm=""))
+    return tuple(sum(line[:1] == sign and line[:3] != sign * 3 for line in diff) for sign in "+-")
+
+
+@F.pandas_udf(T.StructType([T.StructField("additions", T.IntegerType()), T.StructField("deletions", T.IntegerType())]))
+def diff_stats(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Added and removed lines between two contents; ``+++`` counts as a header."""
+    return pd.DataFrame([_counts(o, n) for o, n in zip(old, new)], columns=["additions", "deletions"])
+
+
+def diff_text_stats(diffs: DataFrame, column: str = "unified_diff") -> DataFrame:
+    """The same counts from the text of a diff, inside the JVM."""
     diff = F.coalesce(F.col(column), F.lit(""))
     return diffs.withColumn("additions", text.diff_line_count(diff, "+")).withColumn(
         "deletions", text.diff_line_count(diff, "-")

@@ -8,6 +8,7 @@ from faultatlas.operators import graph, impact, python_source, repo_map, resolut
 from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.registry import query, table
 from faultatlas.plans.layout import cut
+from faultatlas.plans.repository_map import file_report
 
 
 def _parsed(spark, sf_dir):
@@ -305,12 +306,8 @@ counts AS (SELECT root, count(*) FILTER (WHERE dst_type = 'Function') AS functio
 SELECT file, file_count, category, confidence, coalesce(function_count, 0) AS function_count, coalesce(api_count, 0) AS api_count,
   coalesce(db_model_count, 0) AS db_model_count FROM analysed LEFT JOIN counts ON root = file""")
 def blast_radius(spark, sf_dir):
-    edges = _graph(spark, sf_dir).edges
-    deps = cut(graph.file_dependencies(edges))
-    members = impact.impact_members(impact.impact_paths(deps, hops=2))
-    names = views.file_names(spark, sf_dir)
-    near = impact.blast_members(members, names, edges)
-    radius = impact.blast_radius(impact.analyze_change(members, deps, names), near)
+    """The whole way: sources, parse, graph, traversal, counts."""
+    radius = file_report(views.code_files(spark, sf_dir), hops=2)
     return _bigints(
         radius.select("file", "file_count", "category", "confidence", "function_count", "api_count", "db_model_count"),
         "file_count", "function_count", "api_count", "db_model_count",
