@@ -31,7 +31,8 @@ LANGUAGE_BY_SUFFIX = {
 
 def literal_map(mapping: dict[str, str]) -> Column:
     """A constant map column; lookups fold into the projection, no join."""
-    return F.create_map(*[F.lit(part) for pair in mapping.items() for part in pair])
+    quoted = ", ".join("'" + part.replace("'", "\\'") + "'" for pair in mapping.items() for part in pair)
+    return F.expr(f"map({quoted})")
 
 
 def strip(text: Column) -> Column:
@@ -82,10 +83,7 @@ def detect_language(path: Column) -> Column:
 
 
 def is_python_test(path: Column) -> Column:
-    name = basename(path)
-    return (detect_language(path) == "python") & (
-        name.startswith("test_") | name.endswith("_test.py")
-    )
+    return path.rlike("(^|/)(test_[^/]*|[^/]*_test)\\.py$")
 
 
 def service_boundary(path: Column) -> Column:

@@ -63,8 +63,12 @@ def normalize_paths(findings: DataFrame, root: str | None = None, column: str =
     if root is not None:
         prefix = root.rstrip("/") + "/"
         relative = F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
-    resolved = F.when(relative.startswith("/"), fallback).otherwise(
-        F.coalesce(text.collapse_path(relative), fallback)
+    relative = F.regexp_replace(relative, "^(\\./)+", "")
+    # Only a path with an empty, ``.`` or ``..`` part needs the fold over its parts.
+    resolved = (
+        F.when(relative.startswith("/"), fallback)
+        .when(relative.rlike("(^|/)\\.{0,2}(/|$)"), F.coalesce(text.collapse_path(relative), fallback))
+        .otherwise(relative)
     )
     return findings.withColumn(column, resolved)
 

@@ -104,7 +104,7 @@ def resolve_names(names: DataFrame, index: DataFrame, max_dropped: int | None =
 
 def resolve_imports(refs: DataFrame, index: DataFrame, max_dropped: int | None = None) -> DataFrame:
     """File -> file imports, no self edges."""
-    wanted = refs.select("repo_key", "file", F.col("candidate").alias("name")).distinct()
+    wanted = refs.select("repo_key", "file", F.col("candidate").alias("name"))
     found = resolve_names(wanted, index, max_dropped)
     return (
         wanted.join(found, ["repo_key", "name"])

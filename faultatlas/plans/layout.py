@@ -46,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table of few splits to all cores before row-wise work.
+
+    A table with as many splits as half the cores is left where it is read, so
+    nothing large is ever moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of every group; ``rank`` names an optional 1-based position."""
     name = rank or "_rank"
