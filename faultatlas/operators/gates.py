@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.functions import text
-from faultatlas.operators.python_source import parse_python
+from faultatlas.operators.python_source import parse_errors
 from faultatlas.plans.layout import bounded_list, top_per
 
 # Files that configure a test runner, and folders of foreign code.
@@ -21,12 +21,22 @@ NO_TESTS_COLLECTED = 5
 
 
 def has_tests(files: DataFrame) -> DataFrame:
-    """H1: whether a repository has a test suite, by configuration, names or folder."""
+    """H1: whether a repository has a test suite, by configuration, names or folder.
+
+    Content is read only behind the filter on the names of configuration files.
+    """
     path, name = F.col("path"), text.basename(F.col("path"))
-    configured = path.isin(TEST_CONFIG_FILES) & F.contains(F.lower("content"), F.lit("pytest"))
-    named = name.rlike("^test_.*\\.py$") | name.endswith("_test.py")
-    return files.groupBy("repo_key").agg(
-        F.bool_or(F.coalesce(configured, F.lit(False)) | named | path.startswith("tests/")).alias("has_tests")
+    configured = files.where(path.isin(TEST_CONFIG_FILES)).select(
+        "repo_key", F.contains(F.lower("content"), F.lit("pytest")).alias("hit")
+    )
+    named = files.select(
+        "repo_key",
+        (name.rlike("^test_.*\\.py$") | name.endswith("_test.py") | path.startswith("tests/")).alias("hit"),
+    )
+    return (
+        named.unionByName(configured)
+        .groupBy("repo_key")
+        .agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("has_tests"))
     )
 
 
@@ -78,12 +88,9 @@ def gate_syntax(changed: DataFrame, patched: DataFrame) -> DataFrame:
     sources = patched.where(F.col("path").endswith(".py")).select(
         F.col("patch_id").alias("repo_key"), "path", F.lit("python").alias("language"), "content"
     )
-    broken = (
-        parse_python(sources)
-        .where("kind = 'error'")
-        .select(F.col("repo_key").alias("patch_id"), F.col("file").alias("path"), F.lit(True).alias("_broken"))
-        .distinct()
-    )
+    broken = parse_errors(sources).select(
+        F.col("repo_key").alias("patch_id"), F.col("file").alias("path"), F.lit(True).alias("_broken")
+    ).distinct()
     joined = (
         changed.select("patch_id", "path").distinct()
         .join(present, ["patch_id", "path"], "left")

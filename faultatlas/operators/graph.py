@@ -115,8 +115,9 @@ def _nodes(df: DataFrame, node_id: Column, node_type, file: Column, pass_no: int
 def build_graph(files: DataFrame, max_dropped: int | None = None) -> CodeGraph:
     """The whole graph of a corpus.
 
-    Two tables are written on the way: the parse, which several branches read, and
-    the edges, which every traversal reads.  ``files`` should be a stored table.
+    The content is read twice, by the parse and by the patterns; both results are
+    written, because several branches read them, and so are the edges, which every
+    traversal reads.  ``files`` should be a stored table.
     """
     parsed = cut(python_source.parse_python(files))
     symbols = python_source.symbols(parsed)
@@ -125,12 +126,13 @@ def build_graph(files: DataFrame, max_dropped: int | None = None) -> CodeGraph:
     imports = resolution.resolve_imports(refs, index, max_dropped)
     calls, unresolved = resolution.resolve_calls(resolution.call_refs(parsed), symbols, index, max_dropped)
     modules = resolution.external_modules(parsed)
-    routes = text_patterns.extract_routes(files)
-    models = text_patterns.extract_db_refs(files, symbols)
-    settings = text_patterns.extract_config_refs(files)
+    facts = cut(text_patterns.scan_text(files))
+    routes = text_patterns.extract_routes(facts)
+    models = text_patterns.extract_db_refs(facts, symbols)
+    settings = text_patterns.extract_config_refs(facts)
     boundaries, belongs = service_boundaries(files)
 
-    includes = text_patterns.resolve_c_includes(files)
+    includes = text_patterns.resolve_c_includes(facts, files)
     file_edges = resolution.retype_test_edges(
         _edges(imports, "file", "target", "IMPORTS", "File", resolved=True, dst_file="target").unionByName(
             _edges(includes, "file", "target", "IMPORTS", "File", resolved=True, dst_file="target")

@@ -77,7 +77,7 @@ SELECT {sql.path('k')} AS file_path, CAST(line AS BIGINT) AS line_number, 'funct
   concat('`', {sql.path('k')}, '` fails to parse (line ', CAST(line AS VARCHAR), '): invalid syntax. The module cannot be imported or executed until this is fixed.', chr(10), chr(10), '    def broken(:') AS description
 FROM p""")
 def syntax_errors(spark, sf_dir):
-    found = python_source.syntax_errors(python_source.parse_python(views.code_files(spark, sf_dir)))
+    found = python_source.syntax_errors(python_source.parse_errors(views.code_files(spark, sf_dir)))
     return found.select(
         "file_path", F.col("line_number").cast("bigint").alias("line_number"), "issue_class", "severity",
         "title", "code_snippet", "tool_source", "description",
@@ -112,8 +112,7 @@ def import_refs(spark, sf_dir):
 
 @query("resolved_imports", f"WITH {sql.FILE_DEPS} SELECT consumer AS file, dependency AS target, CAST(0 AS BIGINT) AS dropped FROM deps")
 def resolved_imports(spark, sf_dir):
-    files = views.code_files(spark, sf_dir)
-    refs = resolution.import_refs(python_source.parse_python(files))
+    refs = resolution.import_refs(_parsed(spark, sf_dir))
     index = resolution.module_index(views.file_names(spark, sf_dir))
     return resolution.resolve_imports(refs, index).select("file", "target", F.col("dropped").cast("bigint").alias("dropped"))
 
@@ -167,26 +166,27 @@ def unresolved_calls(spark, sf_dir):
   UNION SELECT concat('src/p', p_partkey, '.c'), concat('src/p', p_size, '.c') FROM part WHERE p_size <> p_partkey)
 SELECT DISTINCT c.file, c.target FROM c""")
 def c_includes(spark, sf_dir):
-    return text_patterns.resolve_c_includes(views.c_files(spark, sf_dir)).select("file", "target")
+    files = views.c_files(spark, sf_dir)
+    return text_patterns.resolve_c_includes(text_patterns.scan_text(files), files).select("file", "target")
 
 
 @query("routes", f"""SELECT {sql.path('p_partkey')} AS file, concat('API:/', p_type, '/', CAST(p_size AS VARCHAR), ':GET') AS endpoint_id,
   concat('/', p_type, '/', CAST(p_size AS VARCHAR)) AS route, 'GET' AS method FROM part WHERE p_partkey % 5 = 0""")
 def routes(spark, sf_dir):
-    return text_patterns.extract_routes(views.code_files(spark, sf_dir)).drop("repo_key")
+    return text_patterns.extract_routes(text_patterns.scan_text(views.code_files(spark, sf_dir))).drop("repo_key")
 
 
 @query("db_refs", f"""SELECT {sql.path('p_partkey')} AS file, concat('DB:', replace(p_brand, '#', '')) AS model_id,
   CASE WHEN p_partkey % 97 <> 5 THEN {sql.symbol('p_partkey')} END AS function_id FROM part WHERE p_partkey % 6 = 0""")
 def db_refs(spark, sf_dir):
-    files = views.code_files(spark, sf_dir)
+    files = cut(views.code_files(spark, sf_dir))
     symbols = python_source.symbols(python_source.parse_python(files))
-    return text_patterns.extract_db_refs(files, symbols).select("file", "model_id", "function_id")
+    return text_patterns.extract_db_refs(text_patterns.scan_text(files), symbols).select("file", "model_id", "function_id")
 
 
 @query("config_refs", f"""SELECT {sql.path('p_partkey')} AS file, concat('CFG:K', CAST(p_size AS VARCHAR)) AS config_id FROM part WHERE p_partkey % 7 = 0""")
 def config_refs(spark, sf_dir):
-    return text_patterns.extract_config_refs(views.code_files(spark, sf_dir)).select("file", "config_id")
+    return text_patterns.extract_config_refs(text_patterns.scan_text(views.code_files(spark, sf_dir))).select("file", "config_id")
 
 
 # ------------------------------------------------------------ the whole graph
@@ -226,8 +226,7 @@ def graph_nodes(spark, sf_dir):
 
 @query("test_edges", f"WITH {_EDGES} SELECT src, dst FROM edges WHERE edge_type = 'TESTS'")
 def test_edges(spark, sf_dir):
-    files = views.code_files(spark, sf_dir)
-    refs = resolution.import_refs(python_source.parse_python(files))
+    refs = resolution.import_refs(_parsed(spark, sf_dir))
     imports = resolution.resolve_imports(refs, resolution.module_index(views.file_names(spark, sf_dir)))
     edges = imports.select(
         "repo_key", F.col("file").alias("src"), F.col("target").alias("dst"), F.lit("IMPORTS").alias("edge_type"),
@@ -307,7 +306,7 @@ SELECT file, file_count, category, confidence, coalesce(function_count, 0) AS fu
   coalesce(db_model_count, 0) AS db_model_count FROM analysed LEFT JOIN counts ON root = file""")
 def blast_radius(spark, sf_dir):
     """The whole way: sources, parse, graph, traversal, counts."""
-    radius = file_report(views.code_files(spark, sf_dir), hops=2)
+    radius = file_report(cut(views.code_files(spark, sf_dir)), hops=2)
     return _bigints(
         radius.select("file", "file_count", "category", "confidence", "function_count", "api_count", "db_model_count"),
         "file_count", "function_count", "api_count", "db_model_count",

@@ -2,8 +2,9 @@
 
 These helpers hold the scale rules in one place:
 
-* an iterative plan is cut with a reliable checkpoint in the shared folder the
-  session names in ``spark.checkpoint.dir``, so a lost executor costs a re-read;
+* an iterative or shared plan is cut by writing a table to the shared folder the
+  session names in ``spark.checkpoint.dir``, so a lost executor costs a re-read, a
+  later step reads only its columns, and join sizes are known;
 * the first rows of a group are picked by a rank filter, which Spark reduces to
   at most ``k`` rows per group *before* the shuffle, so a hot group stays small;
 * a full ranking inside a group is built from range partitions plus offsets, so
@@ -14,6 +15,7 @@ These helpers hold the scale rules in one place:
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ _PRE_SHUFFLE_RANK_LIMIT = 1000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints and stream state.
+    """Folder for intermediate tables and stream state.
 
     The session's own setting always wins.  Only a local session without one, as
     in tests, gets a fresh folder.
@@ -35,15 +37,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` below the shared checkpoint folder and go on from the files.
+
+    Parquet rather than an RDD checkpoint: readers prune columns and push filters,
+    and the optimizer sees true sizes.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def spread(df: DataFrame) -> DataFrame:

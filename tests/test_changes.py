@@ -302,6 +302,8 @@ def test_versions_and_graph_round_trip(spark):
     read_nodes, read_edges = tables.read_graph(spark, folder + "/graph")
     assert {(r.repo_key, r.node_id) for r in read_nodes.collect()} == {("a/b", "n"), ("c", "m")}
     assert read_edges.where("repo_key = 'c'").first().edge_type == "CALLS"
+    own_nodes, own_edges = tables.read_graph(spark, folder + "/graph", "a/b")
+    assert [r.node_id for r in own_nodes.collect()] == ["n"] and own_edges.count() == 0
 
 
 def test_streams_over_several_batches(spark):
