@@ -186,3 +186,27 @@ def confirm_requests(spark, sf_dir):
     contexts = review.related_context(files, _neighbour_documents(spark, sf_dir))
     requests = review.confirm_requests(files.drop("doc_id"), _summaries(spark, sf_dir), contexts, candidates)
     return requests.select("path", F.md5("request").alias("request"))
+
+
+_NUMBERED_CONTEXT = f"""numbered_context AS (
+  SELECT a.doc_id, string_agg(concat('### FILE: doc/', b.doc_id, '.txt', chr(10), '```', chr(10), b.body, chr(10), '```'), concat(chr(10), chr(10)) ORDER BY b.doc_id) AS context
+  FROM documents a JOIN (SELECT doc_id, strlen(text) AS bytes, {_numbered(1_000_000_000)} AS body FROM l) b
+    ON b.doc_id IN (a.doc_id + 1, a.doc_id + 2, a.doc_id + 3) AND b.bytes <= 20000 GROUP BY a.doc_id)"""
+
+
+@query("repair_requests", f"""WITH {_LINES}, {_NUMBERED_CONTEXT}
+SELECT concat('doc/', l.doc_id, '.txt') AS path, md5(concat_ws(chr(10), concat('Fix the following issue(s) originating in `doc/', l.doc_id, '.txt` with minimal anchored edits.'),
+  concat('Overall strategy: shorten to ', n_chars), concat('### FILE: doc/', l.doc_id, '.txt'), '```', {_numbered(1_000_000_000)}, '```', context)) AS request
+FROM l LEFT JOIN numbered_context USING (doc_id)""")
+def repair_requests(spark, sf_dir):
+    files = document_files(spark, sf_dir)
+    strategies = table(spark, sf_dir, "documents").select(
+        F.lit(views.REPO).alias("repo_key"),
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+        F.concat(F.lit("shorten to "), F.col("n_chars").cast("string")).alias("fix_strategy"),
+    )
+    contexts = review.related_context(
+        files, _neighbour_documents(spark, sf_dir), k=3, chars=None, max_bytes=review.MAX_RELATED_BYTES, numbered=True
+    )
+    requests = review.repair_requests(files.drop("doc_id"), strategies, contexts)
+    return requests.select("path", F.md5("request").alias("request"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from faultatlas.operators import approval, gates, publication
@@ -10,7 +12,8 @@ from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.findings import blast_of_findings, deduped
 from faultatlas.plans.catalog.graph import _ANALYSIS
 from faultatlas.plans.catalog.registry import query, table
-from faultatlas.plans.layout import cut
+from faultatlas.plans.layout import checkpoint_folder, cut
+from faultatlas.sources import tables
 
 _FIXABLE = f"""{sql.RAW_FINDINGS},
 fixable AS (SELECT * FROM findings WHERE issue_class <> 'code_quality' AND severity_rank >= 1)"""
@@ -335,3 +338,13 @@ SELECT file, md5(concat('## Fixes in `', file, '`', x, x, 'Fixes ', n, ' issue(s
   CASE WHEN n % 2 = 0 THEN concat(x, x, '### Diff', x, '```diff', x, left(repeat(concat('+line', x), 1100), 6000), x, '... (diff truncated)', x, '```') ELSE '' END, x)) AS body FROM c, nl""")
 def pr_bodies(spark, sf_dir):
     return publication.pr_body(changes(spark, sf_dir)).select("file", F.md5("body").alias("body"))
+
+
+@query("stored_pull_requests", f"WITH {_CHANGES_SQL} SELECT file, finding_id, points < 70 OR critical AS requires_approval, '2026-01-02' AS created_on FROM c")
+def stored_pull_requests(spark, sf_dir):
+    folder = f"{checkpoint_folder(spark)}/pull-requests-{uuid.uuid4().hex}"
+    created = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    tables.write_pull_requests(publication.pr_records(changes(spark, sf_dir), created), folder)
+    return spark.read.parquet(folder).select(
+        "file", "finding_id", "requires_approval", F.col("created_on").cast("string").alias("created_on")
+    )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from faultatlas import schemas
 from faultatlas.operators import memory
 from faultatlas.plans.catalog.registry import query, table
-from faultatlas.plans.layout import cut
+from faultatlas.plans.layout import checkpoint_folder, cut
+from faultatlas.sources import tables
 
 _ID_SQL = """concat('fix:', substr(sha256(concat_ws('|', lower(c_mktsegment), lower(o_orderstatus), concat('src/', CAST(o_custkey AS VARCHAR), '.py'), lower(o_orderpriority))), 1, 24))"""
 
@@ -105,3 +109,15 @@ def embedded_fixes(spark, sf_dir):
     )
     embedded = memory.embed_text(texts, memory.fit_embedder(texts))
     return embedded.select("repo_key", "fix_id", F.size("embedding").alias("dimensions"))
+
+
+@query("stored_memory", f"WITH {_RECORDS_SQL} SELECT fix_id, max(o_orderdate) AS validated_at FROM records GROUP BY fix_id")
+def stored_memory(spark, sf_dir):
+    """Two versions of the memory table; readers see the newer."""
+    folder = f"{checkpoint_folder(spark)}/memory-{uuid.uuid4().hex}"
+    records = memory.fix_records(fixed(spark, sf_dir))
+    old = tables.read_versioned(spark, folder, schemas.MEMORY)
+    tables.write_versioned(memory.upsert_fixes(old, records.where(F.year("validated_at") < 1997)), folder, 1)
+    stored = tables.read_versioned(spark, folder, schemas.MEMORY)
+    tables.write_versioned(memory.upsert_fixes(stored, records.where(F.year("validated_at") >= 1997)), folder, 2)
+    return tables.read_versioned(spark, folder, schemas.MEMORY).select("fix_id", "validated_at")
