@@ -236,7 +236,7 @@ def trace_data_flow(
     Distinct places are few per file, so the range condition never meets more than
     lines x functions of one file.
     """
-    places = requests.select("repo_key", "file", "line").distinct()
+    places = cut(requests.select("repo_key", "file", "line").distinct())
     functions = symbols.where(F.col("kind") == "Function").select(
         "repo_key", "file", "symbol_id", "line_start", "line_end"
     )
@@ -248,7 +248,7 @@ def trace_data_flow(
         "left_anti",
     )
     fallback = missed.join(functions.drop("line_start", "line_end"), ["repo_key", "file"])
-    entries = inside.unionByName(fallback).distinct()
+    entries = cut(inside.unionByName(fallback).distinct())
 
     key = ["repo_key", "file", "line"]
 

@@ -33,8 +33,11 @@ def _events(spark, sf_dir):
     return stream_events(spark, folder, files_per_trigger=2)
 
 
-@query("live_metrics", """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS findings,
-  count(*) FILTER (WHERE event_type = 'purchase') AS pull_requests, date_diff('microsecond', min(ts), max(ts)) // 1000000 AS elapsed_seconds FROM events GROUP BY user_id""")
+_METRICS_SQL = """SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS findings,
+  count(*) FILTER (WHERE event_type = 'purchase') AS pull_requests, date_diff('microsecond', min(ts), max(ts)) // 1000000 AS elapsed_seconds FROM events GROUP BY user_id"""
+
+
+@query("live_metrics", _METRICS_SQL)
 def live_metrics(spark, sf_dir):
     metrics = run_feed.live_metrics(_events(spark, sf_dir), finding_event="error", change_event="purchase")
     folder = _folder(spark, "metrics")
@@ -43,6 +46,19 @@ def live_metrics(spark, sf_dir):
     return run_feed.read_updates(spark, folder, ["job_id"], schema)
 
 
+@query("sliced_metrics", _METRICS_SQL)
+def sliced_metrics(spark, sf_dir):
+    """Files may come in any order, so the watermark spans the whole input."""
+    slices = run_feed.sliced_metrics(_events(spark, sf_dir), "3650 days", "1 day", finding_event="error", change_event="purchase")
+    folder = _folder(spark, "slices")
+    run_feed.append_batches(slices, folder, mode="update").awaitTermination()
+    schema = (
+        "job_id string, slice_start timestamp, events bigint, findings bigint, pull_requests bigint, "
+        "first_ts timestamp, last_ts timestamp"
+    )
+    return run_feed.fold_slices(run_feed.read_updates(spark, folder, ["job_id", "slice_start"], schema))
+
+
 @query("phase_progress", """SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(max(list_position(['signup', 'error', 'click', 'view', 'purchase'], event_type) - 1) AS BIGINT) AS phase_index FROM events GROUP BY user_id""")
 def phase_progress(spark, sf_dir):
     progress = run_feed.phase_progress(_events(spark, sf_dir), _PHASES)

@@ -251,6 +251,10 @@ def _rescue_json(candidates: pd.Series) -> pd.Series:
     return candidates.map(_first_json_span, na_action="ignore")
 
 
+# So marked, the optimizer neither repeats the call nor moves filters on it below a shuffle.
+_rescue_json = _rescue_json.asNondeterministic()
+
+
 def read_model_findings(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, rejects) of model replies (repo_key, path, content, reply, seq).
 
@@ -277,9 +281,9 @@ def read_model_findings(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     def field(name: str) -> Column:
         return F.try_variant_get("_item", f"$.{name}", "string").alias(name)
 
+    # A reply without JSON or list has nothing to explode.
     items = (
-        rescued.where(F.col("_value").isNotNull())
-        .select("repo_key", "path", "content", "seq", F.explode(F.coalesce(*lists)).alias("_item"))
+        rescued.select("repo_key", "path", "content", "seq", F.explode(F.coalesce(*lists)).alias("_item"))
         .where(F.schema_of_variant("_item").startswith("OBJECT"))
         .select(
             "repo_key", "path", "content", "seq",

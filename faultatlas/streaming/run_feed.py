@@ -7,7 +7,7 @@ when executors or the driver are lost.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,20 +20,48 @@ from faultatlas.sources.tables import latest_version, read_versioned, write_vers
 FINDING_EVENT, CHANGE_EVENT = "finding_discovered", "pr_created"
 
 
+def _run_counts(finding_event: str, change_event: str) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("event_type") == finding_event).alias("findings"),
+        F.count_if(F.col("event_type") == change_event).alias("pull_requests"),
+    ]
+
+
 def live_metrics(
-    events: DataFrame, watermark: str | None = None,
-    finding_event: str = FINDING_EVENT, change_event: str = CHANGE_EVENT,
+    events: DataFrame, finding_event: str = FINDING_EVENT, change_event: str = CHANGE_EVENT
 ) -> DataFrame:
     """L2: per job the counts of events, findings and changes, and the seconds so far.
 
-    The state is one small row per job; ``watermark`` lets old jobs leave it.
+    The state is one small row per job and stays; see ``sliced_metrics`` for a feed
+    without end.
     """
-    source = events.withWatermark("ts", watermark) if watermark else events
-    return source.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("event_type") == finding_event).alias("findings"),
-        F.count_if(F.col("event_type") == change_event).alias("pull_requests"),
-        F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("elapsed_seconds"),
+    elapsed = F.timestamp_diff("SECOND", F.min("ts"), F.max("ts")).alias("elapsed_seconds")
+    return events.groupBy("job_id").agg(*_run_counts(finding_event, change_event), elapsed)
+
+
+def sliced_metrics(
+    events: DataFrame, watermark: str, time_slice: str = "1 hour",
+    finding_event: str = FINDING_EVENT, change_event: str = CHANGE_EVENT,
+) -> DataFrame:
+    """L2 with bounded state: the same counts per job and slice of time.
+
+    A slice leaves the state once the watermark has passed it; events that come
+    later still are not counted.  ``fold_slices`` adds the slices of a job.
+    """
+    return (
+        events.withWatermark("ts", watermark)
+        .groupBy("job_id", F.window("ts", time_slice).alias("slice"))
+        .agg(*_run_counts(finding_event, change_event), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .select("job_id", F.col("slice.start").alias("slice_start"), "events", "findings", "pull_requests", "first_ts", "last_ts")
+    )
+
+
+def fold_slices(slices: DataFrame) -> DataFrame:
+    """L2: the metrics of each job from its stored slices."""
+    return slices.groupBy("job_id").agg(
+        *[F.sum(c).alias(c) for c in ("events", "findings", "pull_requests")],
+        F.timestamp_diff("SECOND", F.min("first_ts"), F.max("last_ts")).alias("elapsed_seconds"),
     )
 
 

@@ -317,11 +317,19 @@ def test_streams_over_several_batches(spark):
     def events():
         return tables.stream_events(spark, folder + "/in", files_per_trigger=1)
 
-    run_feed.append_batches(run_feed.live_metrics(events(), "1 hour"), folder + "/m", mode="update").awaitTermination()
+    run_feed.append_batches(run_feed.live_metrics(events()), folder + "/m", mode="update").awaitTermination()
     schema = "job_id string, events bigint, findings bigint, pull_requests bigint, elapsed_seconds bigint"
     metrics = {r.job_id: r for r in run_feed.read_updates(spark, folder + "/m", ["job_id"], schema).collect()}
     assert [(r.events, r.findings, r.pull_requests, r.elapsed_seconds) for r in metrics.values()] == [(4, 3, 1, 30)] * 2
 
+    sliced = run_feed.sliced_metrics(events(), "1 hour", "15 seconds")
+    run_feed.append_batches(sliced, folder + "/s", mode="update").awaitTermination()
+    schema = "job_id string, slice_start timestamp, events bigint, findings bigint, pull_requests bigint, first_ts timestamp, last_ts timestamp"
+    slices = run_feed.read_updates(spark, folder + "/s", ["job_id", "slice_start"], schema)
+    assert slices.count() > 2
+    folded = run_feed.fold_slices(slices).collect()
+    assert [(r.events, r.findings, r.pull_requests, r.elapsed_seconds) for r in folded] == [(4, 3, 1, 30)] * 2
+
     run_feed.append_batches(run_feed.phase_progress(events()), folder + "/p", mode="update").awaitTermination()
     progress = run_feed.read_updates(spark, folder + "/p", ["job_id"], "job_id string, phase_index int")
     assert {r.phase_index for r in progress.collect()} == {5}
