@@ -355,7 +355,7 @@ def context_summary(spark, sf_dir):
     return impact.context_summary(views.file_names(spark, sf_dir), symbols, members, deps).drop("repo_key")
 
 
-# Places to trace: one per lineitem row of a third of the suppliers.
+# Places to trace: one per lineitem row.
 _FLOW_REQUESTS = f"""requests AS (SELECT DISTINCT {sql.path('l_partkey')} AS file, CASE WHEN l_linenumber < 7 THEN l_linenumber * 2 END AS line FROM lineitem)"""
 
 
