@@ -42,3 +42,21 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), path))
+
+
+@query("op4_quality_classifier")
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the labelled rows."""
+    from faultatlas.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of the labelled rows."""
+    from faultatlas.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
