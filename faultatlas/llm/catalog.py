@@ -60,3 +60,48 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs))
+
+
+_SHINGLES = r"""
+    words AS (
+        SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+        FROM documents
+    ),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+    ),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id)
+"""
+
+_JACCARD_SQL = f"""
+WITH RECURSIVE {_SHINGLES},
+    shared AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_common
+        FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id
+        GROUP BY x.doc_id, y.doc_id
+    ),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+        WHERE 100 * n_common >= 85 * (p.n + q.n - n_common)
+    ),
+    ways AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+    reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION
+        SELECT r.doc_id, w.y FROM reach r JOIN ways w ON w.x = r.other
+    )
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
+@query("op9_ngram_jaccard", _JACCARD_SQL)
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar sets of four-word shingles."""
+    from faultatlas.llm import jaccard
+
+    groups = jaccard.similar_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")

@@ -164,7 +164,8 @@ def fit(
         def loss(temperature: float) -> float:
             model.temperature = temperature
             p = model.probabilities(means)[np.arange(len(truth)), truth]
-            return float(-np.log(np.maximum(p, 1e-12)).mean())
+            # Among equally good temperatures the one nearest to 1 is taken.
+            return float(-np.log(np.maximum(p, 1e-12)).mean() + 1e-3 * abs(np.log(temperature)))
 
         model.temperature = min(np.geomspace(0.05, 20, 60), key=loss)
     return model
