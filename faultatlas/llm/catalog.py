@@ -105,3 +105,19 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     groups = jaccard.similar_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op6_lz_fingerprint")
+def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of all documents and of their edited texts."""
+    from faultatlas.llm import fingerprints
+
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and weakly supervised verdict of every document."""
+    from faultatlas.llm import rules
+
+    return rules.judge(table(spark, sf_dir, "documents"))
