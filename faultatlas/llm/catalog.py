@@ -121,3 +121,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultatlas.llm import rules
 
     return rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op10_private_surrogates")
+def op10_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    from faultatlas.llm import private
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.pseudonymize(docs, count="n_mentions")
