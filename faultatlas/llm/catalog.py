@@ -130,3 +130,20 @@ def op10_private_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return private.pseudonymize(docs, count="n_mentions")
+
+
+@query("op1_sampled_pieces")
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, and its way back."""
+    from faultatlas.llm import pieces
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), path, sharpness=2.0)
+
+
+@query("op5_visible_text")
+def op5_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of all pages."""
+    from faultatlas.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
