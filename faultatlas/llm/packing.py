@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultatlas.llm.tokens import ChunkEncoder, ids_crc32
+from faultatlas.llm.tokens import ids_crc32, worker_encoder
 from faultatlas.plans.layout import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +38,7 @@ def token_pieces(
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = worker_encoder(tokenizer_path)
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for row, body in enumerate(batch["text"]):

@@ -24,7 +24,7 @@ from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultatlas.llm.tokens import ChunkEncoder, ids_crc32
+from faultatlas.llm.tokens import ids_crc32, worker_encoder
 from faultatlas.plans.layout import checkpoint_folder, cut
 
 MANIFEST = "doc_id long, file string, part int, place long, part_start long, n_tokens long"
@@ -122,7 +122,7 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = ChunkEncoder(tokenizer_path)
+                encoder = worker_encoder(tokenizer_path)
                 uri = f"{folder}/{uuid.uuid4().hex}.arrow"
                 system, path = fs.FileSystem.from_uri(uri)
                 system.create_dir(path.rsplit("/", 1)[0], recursive=True)

@@ -13,6 +13,8 @@ import zlib
 
 import numpy as np
 
+from faultatlas.llm.worker import kept
+
 END_ID = 0
 _PLAIN = re.compile(r"\s |\s\s| \s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -34,27 +36,26 @@ class ChunkEncoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+    def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, self.dtype).tobytes() for c, e in zip(chunks, found, strict=True)}
+        return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, without an end id; a null text has none."""
         if not text:
             return b""
         words = _CUT.split(text) if _PLAIN.search(text) else text.split(" ")
-        first, rest = words[0], words[1:]
-        # The blank belongs to the word that follows it.
-        chunks = [first, *(" " + w for w in rest)]
+        head = self._encode([words[0]])
         known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            new = self._learn(list({c for c in chunks if c not in known}))
-        if len(known) + len(new) <= self.remembered:
-            known.update(new)
-            return b"".join([known[c] for c in chunks])
-        return b"".join([known[c] if c in known else new[c] for c in chunks])
+        found = list(map(known.get, words[1:]))
+        if None in found:
+            new = list({w for w, ids in zip(words[1:], found, strict=True) if ids is None})
+            # The blank before a word belongs to it.
+            fresh = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
+            if len(known) + len(new) <= self.remembered:
+                known.update(fresh)
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words[1:], found, strict=True)]
+        return b"".join(head + found)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text with the end id behind them."""
@@ -62,6 +63,11 @@ class ChunkEncoder:
         return np.frombuffer(body, self.dtype)
 
 
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker."""
+    return kept(("encoder", path), lambda: ChunkEncoder(path))
+
+
 def id_type(vocabulary: int) -> str:
     """Smallest little-endian unsigned type that holds every id."""
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
