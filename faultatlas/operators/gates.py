@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultatlas.functions import text
 from faultatlas.operators.python_source import parse_errors
-from faultatlas.plans.layout import bounded_list, top_per
+from faultatlas.plans.layout import numbered_parts, rank_within, top_per
 
 # Files that configure a test runner, and folders of foreign code.
 TEST_CONFIG_FILES = ["pytest.ini", "tox.ini", "setup.cfg", "pyproject.toml"]
@@ -61,21 +61,26 @@ def match_test_files(changed: DataFrame, files: DataFrame) -> DataFrame:
     return wanted.join(tests, ["repo_key", "_name"]).drop("_name")
 
 
-def test_targets(changed: DataFrame, matched: DataFrame, listed: int = 1000) -> DataFrame:
+def test_targets(changed: DataFrame, matched: DataFrame, batch_size: int = 1000) -> DataFrame:
     """H3: what to run per patch: its test files, or else a name expression.
 
-    The long form of the files is ``match_test_files``; the list here is bounded.
+    One row per (patch, batch) of at most ``batch_size`` files or names; all are in
+    one of the batches.  A patch with neither has one row of kind ``none``.
     """
-    tests = matched.select("patch_id", "test_file").distinct()
-    files = bounded_list(tests, ["patch_id"], [F.col("test_file")], "test_file", listed, "_files")
-    stems = changed.select("patch_id", text.stem(F.col("path")).alias("stem")).where("stem <> ''").distinct()
-    names = bounded_list(stems, ["patch_id"], [F.col("stem")], "stem", listed, "_stems")
-    joined = changed.select("patch_id").distinct().join(files, "patch_id", "left").join(names, "patch_id", "left")
-    by_file = F.col("_files").isNotNull()
-    return joined.select(
-        "patch_id",
-        F.when(by_file, "files").when(F.col("_stems").isNotNull(), "expression").otherwise("none").alias("kind"),
-        F.when(by_file, F.array_join("_files", " ")).otherwise(F.array_join("_stems", " or ")).alias("target"),
+    def batches(names: DataFrame, kind: str, between: str) -> DataFrame:
+        ranked = rank_within(names, ["patch_id"], [F.col("name")])
+        listed = numbered_parts(ranked, ["patch_id"], "position", {"names": F.col("name")}, batch_size)
+        return listed.select(
+            "patch_id", F.col("part").alias("batch"), F.lit(kind).alias("kind"), F.array_join("names", between).alias("target")
+        )
+
+    tests = matched.select("patch_id", F.col("test_file").alias("name")).distinct()
+    stems = changed.select("patch_id", text.stem(F.col("path")).alias("name")).where("name <> ''").distinct()
+    by_name = stems.join(tests.select("patch_id").distinct(), "patch_id", "left_anti")
+    found = batches(tests, "files", " ").unionByName(batches(by_name, "expression", " or "))
+    asked = changed.select("patch_id").distinct()
+    return asked.join(found, "patch_id", "left").select(
+        "patch_id", F.coalesce("batch", F.lit(0)).alias("batch"), F.coalesce("kind", F.lit("none")).alias("kind"), "target"
     )
 
 

@@ -170,6 +170,12 @@ def _best_in_tiles(k: int, threshold: float, skip_same_id: bool):
     return run
 
 
+def _with_direction(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector has one: not null, no null or NaN in it, not zero.  The others match nothing."""
+    whole = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    return vectors.where(F.col("embedding").isNotNull() & whole & F.exists("embedding", lambda x: x != 0.0))
+
+
 def query_similar(
     memory: DataFrame,
     queries: DataFrame,
@@ -191,11 +197,11 @@ def query_similar(
     ``memory`` has (repo_key, fix_id, embedding), ``queries`` (repo_key, query_id,
     embedding).  At most ``pivots`` vectors pass through the driver.
     """
-    stored = memory.select("repo_key", F.col("fix_id").alias("id"), F.col("embedding").cast("array<double>"))
-    asked = queries.select("repo_key", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>"))
+    stored = _with_direction(memory.select("repo_key", F.col("fix_id").alias("id"), F.col("embedding").cast("array<double>")))
+    asked = _with_direction(queries.select("repo_key", F.col("query_id").alias("id"), F.col("embedding").cast("array<double>")))
     wanted = max(1, min(pivots, stored.count() // tile_rows))
     sample = stored.orderBy(F.xxhash64("repo_key", "id"), "repo_key", "id").limit(wanted).select("embedding").collect()
-    vectors = [np.array(r[0]) for r in sample if np.linalg.norm(r[0]) > 0]
+    vectors = [np.array(r[0]) for r in sample]
     result = "repo_key string, query_id string, fix_id string, similarity double"
     if not vectors:
         return memory.sparkSession.createDataFrame([], result)

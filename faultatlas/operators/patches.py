@@ -20,8 +20,8 @@ from faultatlas.plans.layout import bounded_list
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The edit block and the file marker of a reply.
-EDIT_BLOCK = r"(?s)<{5,}\s*SEARCH\s*\n(.*?)\n={5,}\s*\n(.*?)\n>{5,}\s*REPLACE"
-FILE_MARKER = r"(?dm)^[ \t>#*`\-]*FILE:\s*(.+?)\s*$"
+EDIT_BLOCK = r"(?sU)<{5,}\s*SEARCH\s*\n(.*?)\n={5,}\s*\n(.*?)\n>{5,}\s*REPLACE"
+FILE_MARKER = r"(?dmU)^[ \t>#*`\-]*FILE:\s*(.+?)\s*$"
 
 # A patch may change this share of a file longer than this many lines.
 MAX_CHANGED_SHARE = 0.60
@@ -51,7 +51,11 @@ def parse_edits(replies: DataFrame) -> DataFrame:
 
     markers = F.transform(
         "pieces",
-        lambda piece, i: F.struct(last_path(piece).alias("before"), last_path(F.get("blocks", i)).alias("inside")),
+        # Behind a block the rest of its last line is no line of its own.
+        lambda piece, i: F.struct(
+            last_path(F.when(i > 0, F.concat(F.lit("."), piece)).otherwise(piece)).alias("before"),
+            last_path(F.get("blocks", i)).alias("inside"),
+        ),
     )
     # The path in force at block i: the last marker of pieces 0..i and of the blocks
     # before i.
@@ -186,6 +190,11 @@ def _apply_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total, errors = 0, []
 
     def finished() -> dict:
+        if old is None:
+            return {
+                "patch_id": key[0], "file_path": key[1], "new_content": None, "unified_diff": "", "edits_applied": 0,
+                "edits_total": total, "errors": ["The file has no content to edit."], "ok": False, "first_seq": first,
+            }
         refused = _rejection(old, new)
         applied = total - len(errors)
         problems = [*errors, *([refused] if refused else [])]
@@ -208,12 +217,16 @@ def _apply_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (row.patch_id, row.file_path) != key:
                 if key is not None and total:
                     out.append(finished())
-                key, old, total, errors = (row.patch_id, row.file_path), row.content, 0, []
-                new = _unix(old)
+                key, old, total, errors = (row.patch_id, row.file_path), None, 0, []
+            if row.is_content:
+                if isinstance(row.content, str):
+                    old, new = row.content, _unix(row.content)
                 continue
             first = row.seq if not total else first
             total += 1
-            new, problem = _apply_one(new, total, _unix(row.search), _unix(row.replace))
+            if old is None:
+                continue
+            new, problem = _apply_one(new, total, _unix(row.search or ""), _unix(row.replace or ""))
             if problem:
                 errors.append(problem)
         if out:
@@ -228,16 +241,22 @@ def apply_edits(contents: DataFrame, edits: DataFrame) -> DataFrame:
     ``contents`` is (patch_id, file_path, content), one row per file; ``edits`` are
     matched edits.  Edits depend on the result of the one before, so a file is one
     sequence; files are spread over the cluster and streamed through the task in
-    order.  A file that no edit touches gives no row.
+    order.  A file that no edit touches gives no row; edits of a file without a
+    content (no row, or null) give one failed row.
     """
     touched = edits.select("patch_id", "file_path").distinct()
     none = F.lit(None).cast("string")
     rows = contents.join(touched, ["patch_id", "file_path"], "left_semi").select(
-        "patch_id", "file_path", F.lit(0).alias("seq"), "content", none.alias("search"), none.alias("replace")
-    ).unionByName(edits.select("patch_id", "file_path", "seq", none.alias("content"), "search", "replace"))
+        "patch_id", "file_path", F.lit(0).alias("seq"), "content", none.alias("search"), none.alias("replace"),
+        F.lit(True).alias("is_content"),
+    ).unionByName(
+        edits.select(
+            "patch_id", "file_path", "seq", none.alias("content"), "search", "replace", F.lit(False).alias("is_content")
+        )
+    )
     return (
         rows.repartition("patch_id", "file_path")
-        .sortWithinPartitions("patch_id", "file_path", "seq")
+        .sortWithinPartitions("patch_id", "file_path", F.desc("is_content"), "seq")
         .mapInPandas(_apply_sorted, schemas.APPLIED)
     )
 
@@ -267,15 +286,42 @@ def diff_text_stats(diffs: DataFrame, column: str = "unified_diff") -> DataFrame
     )
 
 
-def patch_results(
-    patches: DataFrame, applied: DataFrame, unknown: DataFrame, listed_files: int = 1000
-) -> DataFrame:
+def _changed() -> Column:
+    return (F.col("edits_applied") > 0) & (F.col("unified_diff") != "")
+
+
+def patch_files(applied: DataFrame) -> DataFrame:
+    """The files each patch changed, with their diffs: all of them, as rows."""
+    return applied.where(_changed()).select("patch_id", "file_path", "first_seq", "new_content", "unified_diff")
+
+
+def patch_errors(patches: DataFrame, applied: DataFrame, unknown: DataFrame) -> DataFrame:
+    """Every error of every patch as ``patch_id, file_path, place, error``.
+
+    What a request to try again needs: failed edits by file, files that are not part
+    of the change, and patches without any edit (no file).
+    """
+    failed = applied.select("patch_id", "file_path", F.posexplode("errors").alias("place", "error"))
+    strays = unknown.select("patch_id", "file_path").distinct().select(
+        "patch_id", "file_path", F.lit(0).alias("place"),
+        F.concat(F.lit("The reply edits `"), "file_path", F.lit("`, which is not part of this change.")).alias("error"),
+    )
+    answered = applied.select("patch_id").unionByName(unknown.select("patch_id")).distinct()
+    silent = patches.select("patch_id").distinct().join(answered, "patch_id", "left_anti").select(
+        "patch_id", F.lit(None).cast("string").alias("file_path"), F.lit(0).alias("place"),
+        F.lit("The reply has no edit block.").alias("error"),
+    )
+    return failed.unionByName(strays).unionByName(silent)
+
+
+def patch_results(patches: DataFrame, applied: DataFrame, unknown: DataFrame, listed_files: int = 6) -> DataFrame:
     """One row per patch; ok only if every edit of every file went in.
 
     ``patches`` has the patch ids asked for, so one without edits is a failure with
-    one error.  Errors are counted here and listed in ``applied`` and ``unknown``.
+    one error.  ``changed_files`` are the first files, as a record shows them, next
+    to their exact count; ``patch_files`` has them all, ``patch_errors`` the errors.
     """
-    changed = (F.col("edits_applied") > 0) & (F.col("unified_diff") != "")
+    changed = _changed()
     per_patch = applied.groupBy("patch_id").agg(
         F.sum("edits_applied").alias("edits_applied"),
         F.sum("edits_total").alias("_known"),

@@ -131,13 +131,17 @@ def confirm_requests(
 
 
 def repair_requests(files: DataFrame, strategies: DataFrame, contexts: DataFrame) -> DataFrame:
-    """One request per planned file: instructions, numbered text, editable neighbours."""
+    """One request per planned file and part of its instructions.
+
+    A request has the part's instructions, the numbered text, editable neighbours.
+    """
     joined = strategies.join(
         files.select("repo_key", F.col("path").alias("file"), "content"), ["repo_key", "file"]
     ).join(contexts.withColumnRenamed("path", "file"), ["repo_key", "file"], "left")
     return joined.select(
         "repo_key",
         F.col("file").alias("path"),
+        "part",
         F.concat_ws(
             "\n",
             F.concat(F.lit("Fix the following issue(s) originating in `"), "file", F.lit("` with minimal anchored edits.")),

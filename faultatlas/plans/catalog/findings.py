@@ -118,9 +118,12 @@ def _numbered(limit: int) -> str:
     CASE WHEN len(lines) > {limit} THEN concat(chr(10), '... (', CAST(len(lines) - {limit} AS VARCHAR), ' more lines truncated)') ELSE '' END)"""
 
 
-@query("numbered_lines", f"WITH {_LINES} SELECT doc_id, md5({_numbered(12)}) AS numbered FROM l")
+@query("numbered_lines", f"WITH {_LINES} SELECT doc_id, md5({_numbered(12)}) AS numbered, md5({_numbered(1_000_000_000)}) AS whole FROM l")
 def numbered_lines(spark, sf_dir):
-    return document_files(spark, sf_dir).select("doc_id", F.md5(text.number_lines(F.col("content"), 12)).alias("numbered"))
+    content = F.col("content")
+    return document_files(spark, sf_dir).select(
+        "doc_id", F.md5(text.number_lines(content, 12)).alias("numbered"), F.md5(text.number_lines(content, None)).alias("whole")
+    )
 
 
 @query("snippets", f"""WITH {_LINES}, r AS (SELECT *, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 17 END AS n FROM l)
@@ -203,6 +206,7 @@ def repair_requests(spark, sf_dir):
     strategies = table(spark, sf_dir, "documents").select(
         F.lit(views.REPO).alias("repo_key"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+        F.lit(0).alias("part"),
         F.concat(F.lit("shorten to "), F.col("n_chars").cast("string")).alias("fix_strategy"),
     )
     contexts = review.related_context(

@@ -66,7 +66,7 @@ def matched_tests(spark, sf_dir):
 
 @query("test_targets", f"""WITH {_CHANGED_SQL}, f AS (SELECT patch_id, string_agg(DISTINCT test_file, ' ' ORDER BY test_file) AS files FROM matched GROUP BY patch_id),
 s AS (SELECT CAST(l_orderkey AS VARCHAR) AS patch_id, string_agg(DISTINCT {sql.stem('k')}, ' or ' ORDER BY {sql.stem('k')}) AS names FROM changed GROUP BY l_orderkey)
-SELECT s.patch_id, CASE WHEN files IS NOT NULL THEN 'files' ELSE 'expression' END AS kind, coalesce(files, names) AS target FROM s LEFT JOIN f ON f.patch_id = s.patch_id""")
+SELECT s.patch_id, CAST(0 AS INTEGER) AS batch, CASE WHEN files IS NOT NULL THEN 'files' ELSE 'expression' END AS kind, coalesce(files, names) AS target FROM s LEFT JOIN f ON f.patch_id = s.patch_id""")
 def test_targets(spark, sf_dir):
     patches = cut(changed(spark, sf_dir))
     return gates.test_targets(patches, gates.match_test_files(patches, _test_files(spark, sf_dir)))
@@ -276,7 +276,7 @@ def changes(spark, sf_dir):
     findings = cut(split_fixable(deduped(spark, sf_dir))[0])
     blast, _, _ = blast_of_findings(spark, sf_dir, findings)
     n = F.col("finding_count")
-    lists = publication.issue_lists(findings, listed=5)
+    lists = publication.issue_lists(findings)
     reach = blast.select("repo_key", "file", F.col("file_count").alias("blast_radius"), "module_count")
     second = F.when(n % 3 == 0, F.array(F.col("file"), F.lit("other.py"))).otherwise(F.array("file"))
     joined = lists.join(reach, ["repo_key", "file"]).select(
@@ -302,7 +302,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY severity_rank
    row_number() OVER (PARTITION BY file_path ORDER BY source_priority, seq) AS place, count(*) OVER (PARTITION BY file_path) AS n FROM fixable),
 ids AS (SELECT file_path, string_agg(finding_id, ',' ORDER BY place) AS finding_ids,
    string_agg(concat('- **', title, '** (', issue_class, '/', severity, CASE WHEN line_number > 0 THEN concat(', line ', line_number) ELSE '' END, ')',
-     CASE WHEN root_cause IS NOT NULL THEN concat(' — ', root_cause) ELSE '' END), chr(10) ORDER BY place) AS issue_lines FROM p WHERE place <= 5 GROUP BY file_path),
+     CASE WHEN root_cause IS NOT NULL THEN concat(' — ', root_cause) ELSE '' END), chr(10) ORDER BY place) AS issue_lines FROM p GROUP BY file_path),
 c0 AS (SELECT p.file_path AS file, p.finding_id, p.title, p.severity, p.root_cause, n, finding_ids, issue_lines, file_count, module_count,
    (CASE WHEN n % 3 <> 0 THEN 40 ELSE 0 END) AS t, (CASE WHEN n % 7 <> 0 AND n % 5 <> 0 THEN 25 ELSE 0 END) AS s, (CASE WHEN n % 2 = 0 THEN 10 ELSE 0 END) AS a, (CASE WHEN n % 6 = 0 THEN 15 ELSE 0 END) AS m
    FROM p JOIN ids ON ids.file_path = p.file_path JOIN analysed ON analysed.file = p.file_path WHERE best = 1),

@@ -315,14 +315,14 @@ def blast_radius(spark, sf_dir):
 
 @query("neighbours", f"""WITH {sql.FILE_DEPS}, u AS (
   SELECT DISTINCT consumer AS a, dependency AS b FROM deps UNION SELECT dependency, consumer FROM deps),
-h1 AS (SELECT a AS seed, b AS node FROM u WHERE a IN (SELECT path FROM files WHERE service_boundary = 'svc3')),
+h1 AS (SELECT a AS seed, b AS node FROM u),
 h2 AS (SELECT DISTINCT h1.seed, u.b AS node FROM h1 JOIN u ON u.a = h1.node
        WHERE u.b <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.seed = h1.seed AND x.node = u.b))
 SELECT seed, node, CAST(1 AS BIGINT) AS distance FROM h1 UNION ALL SELECT seed, node, CAST(2 AS BIGINT) FROM h2""")
 def neighbours(spark, sf_dir):
     deps = cut(views.file_deps(spark, sf_dir))
     edges = deps.select("repo_key", F.col("consumer").alias("src"), F.col("dependency").alias("dst"))
-    seeds = views.file_names(spark, sf_dir).where("service_boundary = 'svc3'").select("repo_key", F.col("path").alias("node_id"))
+    seeds = views.file_names(spark, sf_dir).select("repo_key", F.col("path").alias("node_id"))
     near = graph.neighbours(edges, seeds, hops=2)
     return near.select("seed", "node", F.col("distance").cast("bigint").alias("distance"))
 

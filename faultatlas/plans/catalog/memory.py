@@ -100,7 +100,7 @@ def similar_fixes(spark, sf_dir):
     )
 
 
-@query("embedded_fixes")
+@query("embedded_fixes", f"WITH {_RECORDS_SQL} SELECT repo_key, fix_id, 256 AS dimensions, true AS unit_length FROM records")
 def embedded_fixes(spark, sf_dir):
     records = cut(memory.fix_records(fixed(spark, sf_dir)))
     texts = records.select(
@@ -108,7 +108,10 @@ def embedded_fixes(spark, sf_dir):
         memory.stored_text(F.col("bug_type"), F.col("root_cause"), F.col("fix_strategy")).alias("text"),
     )
     embedded = memory.embed_text(texts, memory.fit_embedder(texts))
-    return embedded.select("repo_key", "fix_id", F.size("embedding").alias("dimensions"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+    return embedded.select(
+        "repo_key", "fix_id", F.size("embedding").alias("dimensions"), (F.abs(length - 1) < 1e-3).alias("unit_length")
+    )
 
 
 @query("stored_memory", f"WITH {_RECORDS_SQL} SELECT fix_id, max(o_orderdate) AS validated_at FROM records GROUP BY fix_id")

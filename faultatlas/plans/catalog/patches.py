@@ -160,11 +160,13 @@ def diff_text_stats(spark, sf_dir):
     )
 
 
-@query("unified_diffs", """WITH p AS (SELECT doc_id, string_split(string_split(text, chr(10))[1], chr(13))[1] AS line, len(text) AS n FROM documents)
-SELECT doc_id, concat('--- a/d', doc_id, chr(10), '+++ b/d', doc_id, chr(10), '@@ -1 +1,2 @@', chr(10), ' ', line, chr(10), '+', CAST(n AS VARCHAR), chr(10)) AS diff FROM p""")
+@query("unified_diffs", """WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS lines, len(text) AS n FROM documents),
+c AS (SELECT *, len(lines) AS m, least(len(lines), 3) AS shown, len(lines) - least(len(lines), 3) + 1 AS low FROM p)
+SELECT doc_id, concat('--- a/d', doc_id, chr(10), '+++ b/d', doc_id, chr(10), '@@ -', low, CASE WHEN shown > 1 THEN concat(',', shown) ELSE '' END, ' +', low, ',', shown + 1, ' @@', chr(10),
+  array_to_string([concat(' ', x, chr(10)) FOR x IN lines[low:m]], ''), '+', CAST(n AS VARCHAR), chr(10)) AS diff FROM c""")
 def unified_diffs(spark, sf_dir):
-    line = F.get(F.split(F.get(F.split("text", "\n"), F.lit(0)), "\r"), F.lit(0))
-    old = F.concat(line, F.lit("\n"))
+    """Every whole text against itself with one more line."""
+    old = F.concat("text", F.lit("\n"))
     new = F.concat(old, F.length("text").cast("string"), F.lit("\n"))
     path = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select("doc_id", patches.unified_diff(old, new, path).alias("diff"))

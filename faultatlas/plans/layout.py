@@ -53,23 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table of few splits to all cores before row-wise work.
-
-    A table with as many splits as half the cores is left where it is read, so
-    nothing large is ever moved for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def top_per(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of every group; ``rank`` names an optional 1-based position."""
     name = rank or "_rank"
     if k > _PRE_SHUFFLE_RANK_LIMIT:
         # Too long for the pre-shuffle reduction: cut each of many salted slices first,
         # so the final window sees at most slices * k rows of a group.
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+        # The slice says nothing about the result, so any split of the rows will do.
+        salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(64)))
         slice_window = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             salted.withColumn("_slice_rank", F.row_number().over(slice_window))
@@ -106,6 +97,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], rank: str =
     )
 
 
+def numbered_parts(
+    ranked: DataFrame, keys: list[str], position: str, values: dict[str, Column], size: int = 1000
+) -> DataFrame:
+    """All rows of every group as arrays of up to ``size``: ``keys, part``, one array per value.
+
+    ``position`` is the 1-based place of a row in its group (as from ``rank_within``);
+    part 0 has the first rows.  Nothing is left out: a longer group has more parts.
+    """
+    part = F.floor((F.col(position) - 1) / size).cast("int")
+    fields = [c.alias(name) for name, c in values.items()]
+    sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), *fields)))
+    grouped = ranked.groupBy(*keys, part.alias("part")).agg(sorted_rows.alias("_rows"))
+    return grouped.select(*keys, "part", *(F.col(f"_rows.{name}").alias(name) for name in values))
+
+
 def bounded_list(
     df: DataFrame, keys: list[str], order: list[Column], value: str, k: int, name: str
 ) -> DataFrame:

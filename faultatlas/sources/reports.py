@@ -7,6 +7,7 @@ as one array of structs and exploded once, so a document is parsed once.
 from __future__ import annotations
 
 import json
+import math
 import re
 import sys
 
@@ -227,6 +228,15 @@ def read_compiler_log(logs: DataFrame, per_file: int = 3) -> DataFrame:
     )
 
 
+def _plain(value):
+    """A parsed value that any JSON parser takes."""
+    if isinstance(value, float) and not math.isfinite(value):
+        return None
+    if isinstance(value, dict):
+        return {key: _plain(inner) for key, inner in value.items()}
+    return [_plain(inner) for inner in value] if isinstance(value, list) else value
+
+
 def _first_json_span(candidate: str | None) -> str | None:
     """First balanced ``[...]`` or else ``{...}`` that parses; brackets in strings count."""
     for opening, closing in (("[", "]"), ("{", "}")):
@@ -237,12 +247,11 @@ def _first_json_span(candidate: str | None) -> str | None:
         for found in re.finditer(f"[{re.escape(opening + closing)}]", candidate[start:]):
             depth += 1 if found.group() == opening else -1
             if depth == 0:
-                span = candidate[start : start + found.end()]
                 try:
-                    json.loads(span)
-                except ValueError:
+                    # Written anew: a repeated key keeps its last value, NaN becomes null.
+                    return json.dumps(_plain(json.loads(candidate[start : start + found.end()])))
+                except (ValueError, RecursionError):
                     break
-                return span
     return None
 
 

@@ -88,6 +88,17 @@ def test_embedding_finds_the_same_text(spark):
     assert {(r.query_id, r.fix_id) for r in hits} == {("a", "a"), ("b", "b"), ("c", "c")}
 
 
+def test_vectors_without_direction_match_nothing(spark):
+    schema = "repo_key string, fix_id string, embedding array<float>"
+    rows = [("r", "zero", [0.0, 0.0]), ("r", "null", None), ("r", "hole", [None, 1.0]), ("r", "a", [1.0, 0.0]), ("r", "b", [0.9, 0.1])]
+    stored = spark.createDataFrame(rows, schema)
+    asked = stored.withColumnRenamed("fix_id", "query_id")
+    hits = memory.query_similar(stored, asked, k=2, threshold=0.9).collect()
+    assert {(r.query_id, r.fix_id) for r in hits} == {("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")}
+    zero = asked.where("query_id = 'zero'")
+    assert memory.query_similar(stored, zero).count() == 0 and memory.query_similar(stored.limit(0), asked).count() == 0
+
+
 # ------------------------------------------------------------------- patches
 
 
@@ -124,6 +135,39 @@ def test_patch_over_two_files_in_reply_order(spark):
     assert files["z.py"].unified_diff == "--- a/z.py\n+++ b/z.py\n@@ -1 +1 @@\n-b\n+c\n"
 
 
+def test_marker_behind_a_block_is_no_marker(spark):
+    reply = "FILE: a.py\n" + block("x", "y").rstrip("\n") + " FILE: z.py\n" + block("b", "c")
+    result, files = apply(spark, {"a.py": "x\nb\n", "z.py": "b\n"}, reply)
+    assert result.ok and set(files) == {"a.py"} and files["a.py"].new_content == "y\nc\n"
+
+
+def test_edits_of_a_file_without_content_fail(spark):
+    schema = "patch_id string, file_path string, content string"
+    contents = spark.createDataFrame([("p", "null.py", None), ("p", "a.py", "x\n")], schema)
+    edits = spark.createDataFrame(
+        [("p", f, i, "x", "y") for i, f in enumerate(("null.py", "gone.py", "a.py"))],
+        "patch_id string, file_path string, seq int, search string, replace string",
+    )
+    applied = {r.file_path: r for r in patches.apply_edits(contents, edits).collect()}
+    assert applied["a.py"].ok and applied["a.py"].new_content == "y\n"
+    for name in ("null.py", "gone.py"):
+        assert not applied[name].ok and applied[name].errors and applied[name].new_content is None
+    rows = patches.apply_edits(contents, edits)
+    asked = spark.createDataFrame([("p",), ("q",)], "patch_id string")
+    unknown = spark.createDataFrame([("p", "u.py")], "patch_id string, file_path string")
+    errors = {(r.patch_id, r.file_path) for r in patches.patch_errors(asked, rows, unknown).collect()}
+    assert errors == {("p", "null.py"), ("p", "gone.py"), ("p", "u.py"), ("q", None)}
+    assert [r.file_path for r in patches.patch_files(rows).collect()] == ["a.py"]
+
+
+def test_test_targets_come_in_batches(spark):
+    schema = "patch_id string, source string, test_file string"
+    matched = spark.createDataFrame([("p", "a.py", f"t/test_{i:04}.py") for i in range(1500)], schema)
+    changed = spark.createDataFrame([("r", "p", "a.py")], "repo_key string, patch_id string, path string")
+    rows = gates.test_targets(changed, matched).orderBy("batch").collect()
+    assert [(r.batch, r.kind, len(r.target.split(" "))) for r in rows] == [(0, "files", 1000), (1, "files", 500)]
+
+
 def test_edits_build_on_each_other_and_tolerate_trailing_blanks(spark):
     result, files = apply(spark, {"a.py": "one  \r\ntwo\r\n"}, block("one\ntwo", "three\nfour") + block("three", "five"))
     assert result.ok and files["a.py"].new_content == "five\nfour\n"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultatlas import schemas
 from faultatlas.functions import text
 from faultatlas.operators import findings as ops
-from faultatlas.operators import planning, review
+from faultatlas.operators import planning, publication, review
 from faultatlas.plans.layout import bounded_list, rank_within, top_per
 from faultatlas.sources import files as file_source
 from faultatlas.sources import reports
@@ -150,6 +150,7 @@ def test_model_replies(spark):
         "",
         None,
         json.dumps({"other": 1}),
+        'So: [{"class": "style", "class": "security", "severity": "high", "line": 2, "title": "t", "why": "w", "score": NaN}]',
     ]
     rows = [("r", "f.py", "a\nb\nc", r, i) for i, r in enumerate(replies)]
     df = spark.createDataFrame(rows, "repo_key string, path string, content string, reply string, seq bigint")
@@ -157,7 +158,7 @@ def test_model_replies(spark):
     mapped = ops.map_model_findings(items).collect()
     # The first brackets of the third reply are no JSON, so its first object is taken,
     # which is not a list of findings.
-    assert sorted(r.seq for r in mapped) == [0, 1, 3]
+    assert sorted(r.seq for r in mapped) == [0, 1, 3, 9]
     for row in mapped:
         assert (row.issue_class, row.severity, row.title, row.description, row.line_number) == ("security_vulnerability", "high", "t", "w", 2)
         assert row.code_snippet == "a\nb\nc" and row.root_cause is None and row.confidence == 0.8
@@ -221,16 +222,36 @@ def test_cap_items(spark):
     assert planning.cap_items(items, 0).count() == 7 and planning.cap_items(items, 9).count() == 7
 
 
-def test_strategy_text_is_bounded_but_lines_are_whole(spark):
-    rows = [("r", f"i{i}", "f.py", i or None, "functional_bug", f"t{i}", "low", 0, i) for i in range(5)]
+def test_strategy_text_has_parts_and_keeps_every_line(spark):
+    rows = [("r", f"i{i}", "f.py", i or None, "functional_bug", f"t{i}", "low", 0, i) for i in range(1500)]
     df = spark.createDataFrame(rows, FINDING)
     for name in ("suggested_fix", "root_cause", "description"):
         df = df.withColumn(name, F.lit(None).cast("string"))
     planned = planning.plan_findings(df)
-    assert planned.count() == 5
-    assert planning.fix_strategy(planned, 4).first().fix_strategy is None
-    whole = planning.fix_strategy(planned, 5).first().fix_strategy
-    assert whole.startswith("Fix the following in this file:\n- t0: fix the issue\n- t1 (line 1): fix the issue")
+    parts = planning.fix_strategy(planned).orderBy("part").collect()
+    assert [(p.part, p.finding_count) for p in parts] == [(0, 1500), (1, 1500)]
+    assert parts[0].fix_strategy.startswith("Fix the following in this file:\n- t0: fix the issue\n- t1 (line 1): fix the issue")
+    lines = [line for p in parts for line in p.fix_strategy.split("\n")[1:]]
+    assert [line.split(" ")[1].rstrip(":") for line in lines] == [f"t{i}" for i in range(1500)]
+    lists = publication.issue_lists(df).orderBy("part").collect()
+    assert [i for p in lists for i in p.finding_ids] == [f"i{i}" for i in range(1500)]
+    assert {p.finding_id for p in lists} == {"i0"} and {p.finding_count for p in lists} == {1500}
+    files = spark.createDataFrame([("r", "f.py", "x = 1")], "repo_key string, path string, content string")
+    none = spark.createDataFrame([], "repo_key string, path string, context string")
+    requests = review.repair_requests(files, planning.fix_strategy(planned), none).orderBy("part").collect()
+    assert [r.part for r in requests] == [0, 1] and "- t1499" in requests[1].request
+
+
+def test_dependencies_of_an_item_have_parts(spark):
+    edges = spark.createDataFrame([("r", f"b{i:04}", "z") for i in range(1200)], "repo_key string, before string, after string")
+    parts = planning.item_dependencies(edges).orderBy("part").collect()
+    assert [len(p.dependencies) for p in parts] == [1000, 200]
+    assert [d for p in parts for d in p.dependencies] == [f"b{i:04}" for i in range(1200)]
+
+
+def test_first_rows_of_a_group_with_a_map_column(spark):
+    df = spark.createDataFrame([("g", i, {"a": str(i)}) for i in range(3000)], "g string, v int, m map<string,string>")
+    assert sorted(r.v for r in top_per(df, ["g"], [F.col("v")], 2000).collect()) == list(range(2000))
 
 
 def test_review_ranking_limits(spark):

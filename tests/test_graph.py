@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faultatlas.operators import graph, impact, python_source, repo_map, resolution
+from faultatlas.operators import graph, impact, python_source, repo_map, resolution, text_patterns
 from faultatlas.plans.repository_map import file_report, repository_map
 
 SHOP = {
@@ -231,3 +231,21 @@ def test_repositories_do_not_mix(spark, corpus):
     assert rows["one", "shop/rates.py"] == 2 and rows["two", "x.py"] == 0
     stats = {r.repo_key: r for r in repository_map(both).stats.collect()}
     assert stats["one"].files == 4 and stats["two"].files == 1 and not stats["one"].truncated
+
+
+def test_no_file_ends_the_job(corpus, spark):
+    deep = "@a" + ".b" * 6000 + "\ndef f():\n    pass\n"
+    files = corpus({"deep.py": deep, "fine.py": "def g(x):\n    return x\n"})
+    files = files.unionByName(files.limit(1).withColumn("path", F.lit("null.py")).withColumn("content", F.lit(None).cast("string")))
+    rows = python_source.parse_python(files).select("file", "kind").distinct().collect()
+    kinds = {(r.file, r.kind) for r in rows}
+    assert ("fine.py", "symbol") in kinds and ("null.py", "error") in kinds
+    assert any(file == "deep.py" for file, _ in kinds)
+
+
+def test_patterns_know_letters_beyond_ascii(corpus):
+    files = corpus({"a.py": '@äpp.get("/x")\nÄnder.objects.all()\nselect(Größe)\n'})
+    scanned = text_patterns.scan_text(files)
+    row = scanned.first()
+    assert [(r.route, r.method) for r in row.routes] == [("/x", "GET")]
+    assert set(row.models) == {"Änder", "Größe"}
