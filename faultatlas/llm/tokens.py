@@ -27,7 +27,7 @@ class ChunkEncoder:
     encoded each time they occur, so the bound changes the time only.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -35,27 +35,55 @@ class ChunkEncoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
+        self.marks = {mark: self._encode([mark])[0] for mark in ("", ".", ",")}
+        # How the model spells a word of ASCII letters behind a blank; None if neither way is its own.
+        samples = ["a", "The", "garden", "HELLO", "Xqzjk", "tionerthre"]
+        whole = self._encode([" " + w for w in samples])
+        spellings = ((lambda w: "Ġ" + w), str.lower)
+        self.spell = next((f for f in spellings if [self._word(f(w)) for w in samples] == whole), None)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _word(self, spelled: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words behind a blank, the blank included.
+
+        Letters and a full stop or comma behind them are separate words to both
+        vocabularies, so such a word is its letters and its mark.
+        """
+        ids, cores, rest = {}, {}, []
+        for word in words:
+            mark = word[-1:] if word[-1:] in (".", ",") else ""
+            core = word[:-1] if mark else word
+            if self.spell is None or not (core.isascii() and core.isalpha()):
+                rest.append(word)
+                continue
+            found = self.known.get(core) or cores.get(core)
+            if found is None:
+                found = cores[core] = self._word(self.spell(core))
+            ids[word] = found + self.marks[mark]
+        ids.update(zip(rest, self._encode([" " + w for w in rest]), strict=True))
+        return ids
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, without an end id; a null text has none."""
         if not text:
             return b""
         words = _CUT.split(text) if _PLAIN.search(text) else text.split(" ")
-        head = self._encode([words[0]])
         known = self.known
-        found = list(map(known.get, words[1:]))
+        found = list(map(known.get, words))
+        found[0] = self._encode(words[:1])[0]
         if None in found:
-            new = list({w for w, ids in zip(words[1:], found, strict=True) if ids is None})
-            # The blank before a word belongs to it.
-            fresh = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
+            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
+            fresh = self._learn(new)
             if len(known) + len(new) <= self.remembered:
                 known.update(fresh)
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words[1:], found, strict=True)]
-        return b"".join(head + found)
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return b"".join(found)
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of a whole text with the end id behind them."""
