@@ -21,11 +21,10 @@ def components(links: DataFrame) -> DataFrame:
     stars = links.where(F.col("a") != F.col("b")).select(high.alias("node"), low.alias("to")).distinct()
     while True:
         stars = cut(_small(_large(stars)))
-        loose = stars.groupBy("node").agg(F.count("*").alias("n"))
-        ends = stars.select(F.col("to").alias("node")).distinct()
-        unfinished = loose.where("n > 1")
-        roots_with_parent = stars.join(ends, "node", "left_semi")
-        if not unfinished.limit(1).count() and not roots_with_parent.limit(1).count():
+        # Done when every node hangs below one node, and that one below none.
+        hung = stars.groupBy("node").agg(F.count("*").alias("n"))
+        above = stars.select(F.col("to").alias("node")).distinct().withColumn("above", F.lit(1))
+        if not hung.join(above, "node", "left").where("n > 1 OR above = 1").limit(1).count():
             break
     tops = stars.select(F.col("to").alias("node"), F.col("to").alias("component")).distinct()
     return stars.withColumnRenamed("to", "component").unionByName(tops)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultatlas.llm.components import components
+from faultatlas.llm.worker import kept
 from faultatlas.plans.layout import cut
 
 _BUCKET_BITS = 18  # shingle frequencies are counted in so many hashed buckets
@@ -33,12 +34,12 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """64-bit hashes of the word shingles of texts."""
 
-    def __init__(self, words: int, seed: int = 0, remembered: int = 500_000):
+    def __init__(self, words: int, seed: int = 0, remembered: int = 250_000):
         import xxhash
 
         self.words, self.remembered = words, remembered
-        self.hash = lambda w: xxhash.xxh3_64_intdigest(w, seed)
-        self.known: dict[bytes, int] = {}
+        self.digest = lambda w: xxhash.xxh3_64_digest(w, seed)
+        self.known: dict[bytes, bytes] = {}
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes.  Fewer words than a shingle are one sequence."""
@@ -46,17 +47,13 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        try:
-            hashed = [known[w] for w in words]
-        except KeyError:
-            if len(known) > self.remembered:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w)
-            hashed = [known[w] for w in words]
-        each = np.array(hashed, np.uint64)
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = {w: self.digest(w) for w, h in zip(words, found, strict=True) if h is None}
+            if len(self.known) + len(new) <= self.remembered:
+                self.known.update(new)
+            found = [new[w] if h is None else h for w, h in zip(words, found, strict=True)]
+        each = np.frombuffer(b"".join(found), np.uint64)
         n = min(self.words, len(each))
         total = np.full(len(each) - n + 1, n, np.uint64)
         for k in range(n):
@@ -64,6 +61,11 @@ class Shingler:
         return np.unique(mixed(total))
 
 
+def worker_shingler(words: int, seed: int) -> Shingler:
+    """The shingler of this Python worker, with its bounded table of words."""
+    return kept(("shingler", words, seed), lambda: Shingler(words, seed))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
@@ -77,6 +79,11 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in mixed(np.array([first, second])).view(np.int64))
 
 
+def bins_of(shingles: np.ndarray) -> bytes:
+    """Sizes of the parts of a set by hash, as the suffix filter compares them."""
+    return np.bincount((shingles & np.uint64(_BINS - 1)).astype(int), minlength=_BINS).astype("<i4").tobytes()
+
+
 def _buckets(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
 
@@ -92,39 +99,45 @@ def index_length(n: int, percent: int) -> int:
 
 
 def similar_groups(
-    docs: DataFrame, words: int = 4, percent: int = 85, pivot_rounds: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, words: int = 4, percent: int = 85, pivot_rounds: int = 2, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``, and its ``node``.
+    """One row per input row: ``doc_id, n_shingles, component_id``, ``component`` and ``row``.
 
     Two documents are linked when ``100 * shared >= percent * united`` shingles;
     ``component_id`` is the smallest id that links lead to, the document's own
     included.  A null text or one without a word has no shingle and is linked with
     nothing.  Null ids stay null and take part in links; repeated rows and rows of
-    equal sets share a component; other columns are not read.  ``node`` is the hash
-    of the shingle set (null without a shingle).
+    equal sets share a component; other columns are not read.  ``component``
+    is a number of the component that does not need an id (null without a shingle),
+    ``row`` the digest of the row's id and text.
     """
     spark = docs.sparkSession
-    bodies = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    bodies = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("row")
+    )
     for seed in range(8):
         scanned = cut(_scan(bodies, words, seed))
-        rows = scanned.where("bucket IS NULL").select("doc_id", "n", "node", "check")
-        classes = rows.where("n > 0").groupBy("node", "check").agg(F.min("doc_id").alias("first_id"))
+        rows = scanned.where("bucket IS NULL").select("doc_id", "row", "n", "node", "check", "bins")
+        classes = rows.where("n > 0").groupBy("node", "check").agg(
+            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bins").alias("bins")
+        )
         classes = cut(classes)
         # Two different sets with one 64-bit key: hash anew.
         if not classes.groupBy("node").count().where("count > 1").limit(1).count():
             break
     order = _rarity(scanned)
-    links = _links(bodies, classes.select("node", "first_id"), order, words, percent, seed, pivot_rounds)
+    links = _links(bodies, classes, order, words, percent, seed, pivot_rounds)
     groups = components(links)
     nodes = classes.join(groups, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = nodes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    members = cut(nodes.join(smallest, "component").select("node", "component_id"))
-    linked = rows.join(members, "node", "left")
+    members = nodes.join(smallest, "component").select("node", "component", "component_id")
+    linked = rows.drop("check", "bins").join(members, "node", "left")
     return linked.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("node")).alias("node"),
+        "component",
+        "row",
     )
 
 
@@ -132,11 +145,11 @@ def _scan(bodies: DataFrame, words: int, seed: int) -> DataFrame:
     """Set size and keys of every row, and shingle counts by hashed bucket, in one pass."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words, seed)
+        shingler = worker_shingler(words, seed)
         total = np.zeros(1 << _BUCKET_BITS, np.int64)
-        names = ["doc_id", "n", "node", "check", "bucket", "count"]
+        names = ["doc_id", "row", "n", "node", "check", "bins", "bucket", "count"]
         for batch in batches:
-            sizes, nodes, checks = [], [], []
+            sizes, nodes, checks, bins = [], [], [], []
             for body in batch["text"]:
                 s = shingler.shingles(body.as_py())
                 np.add.at(total, _buckets(s), 1)
@@ -144,15 +157,16 @@ def _scan(bodies: DataFrame, words: int, seed: int) -> DataFrame:
                 sizes.append(len(s))
                 nodes.append(node)
                 checks.append(check)
+                bins.append(bins_of(s))
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks)), none, none], names
+                [batch["doc_id"], batch["row"], *(pa.array(x, pa.int64()) for x in (sizes, nodes, checks)), pa.array(bins, pa.binary()), none, none], names
             )
         seen = np.flatnonzero(total)
         none = pa.nulls(len(seen), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(seen), pa.array(total[seen])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(seen), pa.binary()), pa.array(seen), pa.array(total[seen])], names)
 
-    return bodies.mapInArrow(scan, "doc_id long, n long, node long, check long, bucket long, count long")
+    return bodies.mapInArrow(scan, "doc_id long, row long, n long, node long, check long, bins binary, bucket long, count long")
 
 
 def _rarity(scanned: DataFrame) -> np.ndarray:
@@ -171,7 +185,7 @@ def _entries(bodies: DataFrame, order: np.ndarray, words: int, percent: int, see
     shared = bodies.sparkSession.sparkContext.broadcast(order)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words, seed), set()
+        shingler, seen = worker_shingler(words, seed), set()
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
             for body in batch["text"]:
@@ -205,51 +219,57 @@ def _entries(bodies: DataFrame, order: np.ndarray, words: int, percent: int, see
 def _links(
     bodies: DataFrame, classes: DataFrame, order: np.ndarray, words: int, percent: int, seed: int, pivot_rounds: int
 ) -> DataFrame:
-    """Verified links between classes, enough to connect what any chain of links connects."""
+    """Verified links between classes, enough to connect what any chain of links connects.
+
+    The classes of a shingle's list are in groups that are connected already.  In a
+    pivot round one member of the largest group is held against all other groups; the
+    last round compares every class outside the largest group with all of the list
+    that is not in its own group.
+    """
     entries = cut(_entries(bodies, order, words, percent, seed))
     # Shingles that at least two classes have in their prefixes.
     common = entries.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-    met = entries.join(common, "token").distinct().join(classes, "node")
-    met = cut(met)
-    found = spark_empty(bodies.sparkSession, "a long, b long")
-    tried = found
-    label = met.select("node").distinct().withColumn("component", F.col("node"))
+    first = classes.select("node", "first_id")
+    met = cut(entries.join(common, "token").distinct().join(first, "node").withColumn("component", F.col("node")))
+    found = tried = empty(bodies.sparkSession, "a long, b long")
     for turn in range(pivot_rounds + 1):
-        labelled = met.join(label, "node")
-        by_group = labelled.groupBy("token", "component").agg(
-            F.count("*").alias("members"),
-            F.min(F.struct((F.col("first_id") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("first_id"), "node", "n", "at")).alias("pivot"),
+        # The first pivot is the smallest id, since copies tend to come after their original.
+        rank = F.col("first_id") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        groups = met.groupBy("token", "component").agg(
+            F.count("*").alias("members"), F.min(F.struct(rank.alias("rank"), "node", "n", "at")).alias("pivot")
+        )
+        largest = F.max(F.struct("members", (-F.col("pivot.rank")).alias("tie"), "component", "pivot"))
+        lists = groups.groupBy("token").agg(
+            F.count("*").alias("groups"), F.sum("members").alias("classes"), largest.alias("largest")
         )
-        # The largest group of a list is held against the rest of the list.
-        lists = by_group.groupBy("token").agg(
-            F.count("*").alias("groups"),
-            F.max(F.struct("members", (-F.col("pivot.first_id") if turn == 0 else F.col("component")).alias("tie"), "component", "pivot")).alias("largest"),
-        ).where("groups > 1")
-        rest = labelled.join(lists.select("token", "largest"), "token").where("component <> largest.component")
+        # The one pair of a list of two is compared in the first round.
+        lists = lists.where("groups > 1" if turn == 0 else "groups > 1 AND classes > 2")
+        lists = lists.select("token", F.col("largest.component").alias("main"), F.col("largest.pivot").alias("pivot"), "classes")
+        met = cut(met.join(lists, "token"))
+        rest = met.where("component <> main")
+        p = [F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat")]
         if turn < pivot_rounds:
-            pairs = rest.select(
-                F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"),
-                F.col("largest.pivot.node").alias("q"), F.col("largest.pivot.n").alias("qn"), F.col("largest.pivot.at").alias("qat"),
-            ).where(_passes(percent))
+            pairs = rest.select(*p, F.col("pivot.node").alias("q"), F.col("pivot.n").alias("qn"), F.col("pivot.at").alias("qat"))
+            pairs = pairs.where(_passes(percent))
         else:
-            p = rest.select("token", "component", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("at").alias("pat"))
-            q = labelled.join(lists.select("token"), "token", "left_semi").select(
-                F.col("token").alias("t"), F.col("component").alias("c"), F.col("node").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat")
-            )
-            pairs = p.join(q, (F.col("token") == F.col("t")) & (F.col("component") != F.col("c")) & _passes(percent))
+            all_of = met.select(
+                F.col("token").alias("list"), F.col("component").alias("other"),
+                F.col("node").alias("q"), F.col("n").alias("qn"), F.col("at").alias("qat"),
+            )
+            apart = (F.col("token") == F.col("list")) & (F.col("component") != F.col("other"))
+            pairs = rest.select("token", "component", *p).join(all_of, apart & _passes(percent))
         wanted = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         wanted = cut(wanted.join(tried, ["a", "b"], "left_anti"))
-        new = _verified(bodies, wanted, words, percent, seed)
-        tried, found = tried.unionByName(wanted), cut(found.unionByName(new))
+        found = cut(found.unionByName(_verified(bodies, classes, wanted, words, percent, seed)))
         if turn < pivot_rounds:
-            known = components(found)
-            label = cut(
-                met.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-            )
+            tried = tried.unionByName(wanted)
+            known = components(found).withColumnRenamed("component", "known")
+            met = met.where("classes > 2").drop("main", "pivot", "classes").join(known, "node", "left")
+            met = met.withColumn("component", F.coalesce("known", "component")).drop("known")
     return found
 
 
-def spark_empty(spark: SparkSession, schema: str) -> DataFrame:
+def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
@@ -262,44 +282,37 @@ def _passes(percent: int) -> Column:
 
 
 def _sets(bodies: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """Sets of the classes in ``wanted`` (and of few others): ``node, n, bins, shingles``.
+    """Sets of the wanted classes (``node, first_id``), and of few others: ``node, shingles``.
 
-    A bit table of fixed size tells which classes are wanted; at worst it lets all
-    through, and the join that follows drops the others.
+    A bit table of fixed size tells which ids are wanted, so other texts are not cut
+    into shingles; at worst it lets all through, and the join that follows drops them.
     """
-    spot = F.pmod(F.col("node"), F.lit(1 << _BLOOM_BITS))
-    asked = wanted.select(F.explode(F.array("a", "b")).alias("node")).select(spot.alias("spot")).distinct().toArrow()
+    spots = wanted.select(F.pmod(F.coalesce("first_id", F.lit(-1)), F.lit(1 << _BLOOM_BITS)).alias("spot")).distinct().toArrow()
     table = np.zeros(1 << _BLOOM_BITS, bool)
-    table[asked["spot"].to_numpy()] = True
+    table[spots["spot"].to_numpy()] = True
     shared = bodies.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, bits = Shingler(words, seed), set(), np.unpackbits(shared.value)
+        shingler, seen, bits = worker_shingler(words, seed), set(), np.unpackbits(shared.value)
         for batch in batches:
             found = []
-            for body in batch["text"]:
+            for number, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                if not bits[(-1 if number is None else number) % len(bits)]:
+                    continue
                 s = shingler.shingles(body.as_py())
                 node, _ = set_keys(s)
-                if len(s) and bits[node % len(bits)] and node not in seen:
+                if len(s) and node not in seen:
                     seen.add(node)
-                    bins = np.bincount((s & np.uint64(_BINS - 1)).astype(int), minlength=_BINS).astype("<i4")
-                    found.append((node, len(s), bins.tobytes(), s.tobytes()))
+                    found.append((node, s.tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                ["node", "n", "bins", "shingles"],
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"]
             )
 
-    return bodies.mapInArrow(sets, "node long, n long, bins binary, shingles binary")
+    return bodies.mapInArrow(sets, "node long, shingles binary")
 
 
-def _verified(bodies: DataFrame, wanted: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def _verified(bodies: DataFrame, classes: DataFrame, wanted: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """The pairs of ``wanted`` that are similar enough."""
-    if not wanted.limit(1).count():
-        return spark_empty(bodies.sparkSession, "a long, b long")
-    sets = cut(_sets(bodies, wanted, words, seed).dropDuplicates(["node"]))
-
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,12 +328,40 @@ def _verified(bodies: DataFrame, wanted: DataFrame, words: int, percent: int, se
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch["shingles_a"].to_pylist(), batch["shingles_b"].to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = wanted.join(side("b", "n", "bins"), "b").join(side("a", "n", "bins"), "a").mapInArrow(suffix, "a long, b long")
-    full = near.join(side("b", "shingles"), "b").join(side("a", "shingles"), "a")
+    def side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+
+    near = wanted.join(side(classes, "b", "n", "bins"), "b").join(side(classes, "a", "n", "bins"), "a")
+    near = cut(near.mapInArrow(suffix, "a long, b long"))
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_id"), "node")
+    sets = cut(_sets(bodies, nodes, words, seed).dropDuplicates(["node"]))
+    full = near.join(side(sets, "b", "shingles"), "b").join(side(sets, "a", "shingles"), "a")
     return full.select("a", "b", "shingles_a", "shingles_b").mapInArrow(compare, "a long, b long")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """Digest that tells rows apart by id and text."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def first_of_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of every group of similar documents, all columns as they are.
+
+    The row with the smallest id of a group stays (a null id comes last); of several
+    rows with that id the one with the smallest digest, and of rows that agree in id
+    and text one.  A null text or one without a word is in no group, and all such rows
+    stay.  An empty table gives no row.
+    """
+    groups = similar_groups(docs, words, percent, doc_id=doc_id, text=text)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")
+    kept = groups.where("n_shingles > 0").groupBy("component").agg(least).select(F.col("least.row").alias("__row"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = docs.where(worded).withColumn("__row", row_key(doc_id, text)).join(kept, "__row", "left_semi")
+    first = first.dropDuplicates(["__row", doc_id]).drop("__row")
+    return first.unionByName(docs.where(~worded))
