@@ -86,9 +86,9 @@ def syntax_gates(spark, sf_dir):
 # -------------------------------------------------------------------- gates
 
 def attempts(spark, sf_dir):
-    """Attempts 1 to 3 of each order, from its first lines."""
+    """One attempt of each order per line number."""
     key, number = F.col("l_orderkey"), F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").where(number <= 3).groupBy("l_orderkey", "l_linenumber").agg(
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
         F.min("l_suppkey").alias("supp")
     )
     return rows.select(
@@ -119,12 +119,12 @@ def runs(spark, sf_dir):
 
 
 def scans(spark, sf_dir):
-    """Scanner rows of attempts: returned lines are before, the others after."""
+    """Scanner rows of three attempts: returned lines are before, the others after."""
     supp = F.col("l_suppkey")
     levels = F.array(*[F.lit(s) for s in ("LOW", "MEDIUM", "HIGH")])
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("patch_id"),
-        F.lit(0).alias("attempt"),
+        (F.col("l_partkey") % 3).cast("int").alias("attempt"),
         F.when(F.col("l_returnflag") == "A", "before").otherwise("after").alias("phase"),
         F.concat(F.lit("f"), (F.col("l_partkey") % 5).cast("string"), F.lit(".py")).alias("path"),
         F.concat(F.lit("bandit:B"), (supp % 7).cast("string")).alias("check_id"),
@@ -137,21 +137,21 @@ def scans(spark, sf_dir):
 _GATES_SQL = """a AS (
   SELECT l_orderkey AS k, l_linenumber - 1 AS attempt, min(l_suppkey) AS supp, (l_orderkey + l_linenumber) % 5 <> 0 AS g1,
     l_orderkey % 11 <> 0 AS has_tests, l_orderkey % 9 <> 0 AS runner, l_orderkey % 13 <> 0 AS scanner
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_linenumber),
-sev AS (SELECT l_orderkey AS k, true AS severe FROM lineitem WHERE l_returnflag <> 'A' AND l_suppkey % 3 = 2 GROUP BY l_orderkey),
-g2 AS (SELECT a.*, NOT coalesce(severe AND attempt = 0, false) AS scanner_ok,
-    CASE WHEN NOT has_tests THEN true WHEN NOT runner THEN false ELSE supp % 4 IN (0, 2) END AS tests_ok FROM a LEFT JOIN sev USING (k)),
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+sev AS (SELECT l_orderkey AS k, l_partkey % 3 AS attempt, true AS severe FROM lineitem WHERE l_returnflag <> 'A' AND l_suppkey % 3 = 2 GROUP BY 1, 2),
+g2 AS (SELECT a.*, NOT coalesce(severe, false) AS scanner_ok,
+    CASE WHEN NOT has_tests THEN true WHEN NOT runner THEN false ELSE supp % 4 IN (0, 2) END AS tests_ok FROM a LEFT JOIN sev USING (k, attempt)),
 g3 AS (SELECT *, g1 AND has_tests AND tests_ok AND scanner_ok AS gate2 FROM g2),
 g4 AS (SELECT *, CASE WHEN g1 AND has_tests AND gate2 THEN supp % 6 <> 0 ELSE g1 END AS gate3 FROM g3),
 g5 AS (SELECT *, CASE WHEN has_tests THEN g1 AND gate2 AND gate3 ELSE g1 AND scanner_ok END AS passed FROM g4),
-s AS (SELECT l_orderkey AS k, concat('f', l_partkey % 5, '.py') AS path, concat('bandit:B', l_suppkey % 7) AS check_id, concat('m', l_suppkey % 3) AS message,
+s AS (SELECT l_orderkey AS k, l_partkey % 3 AS attempt, concat('f', l_partkey % 5, '.py') AS path, concat('bandit:B', l_suppkey % 7) AS check_id, concat('m', l_suppkey % 3) AS message,
     l_returnflag = 'A' AS is_before, l_suppkey % 3 IN (1, 2) AS serious FROM lineitem),
-new_rows AS (SELECT k, path, check_id, message, count(*) AS copies FROM s WHERE NOT is_before
-   AND (k, path, check_id, message) NOT IN (SELECT k, path, check_id, message FROM s WHERE is_before) GROUP BY 1, 2, 3, 4 HAVING bool_or(serious)),
-n AS (SELECT k, count(*) AS new_count FROM new_rows GROUP BY k),
+new_rows AS (SELECT k, attempt, path, check_id, message, count(*) AS copies FROM s WHERE NOT is_before
+   AND (k, attempt, path, check_id, message) NOT IN (SELECT k, attempt, path, check_id, message FROM s WHERE is_before) GROUP BY 1, 2, 3, 4, 5 HAVING bool_or(serious)),
+n AS (SELECT k, attempt, count(*) AS new_count FROM new_rows GROUP BY k, attempt),
 sec AS (SELECT a.k, a.attempt, a.scanner,
-    a.k % 4 = 0 OR NOT (a.attempt = 0 AND EXISTS (SELECT 1 FROM s WHERE s.k = a.k AND NOT is_before AND check_id = concat('bandit:B', a.k % 7))) AS original_gone,
-    CASE WHEN a.attempt = 0 THEN coalesce(new_count, 0) ELSE 0 END AS new_count FROM a LEFT JOIN n USING (k)),
+    a.k % 4 = 0 OR NOT EXISTS (SELECT 1 FROM s WHERE s.k = a.k AND s.attempt = a.attempt AND NOT is_before AND check_id = concat('bandit:B', a.k % 7)) AS original_gone,
+    coalesce(new_count, 0) AS new_count FROM a LEFT JOIN n ON n.k = a.k AND n.attempt = a.attempt),
 sec2 AS (SELECT *, NOT scanner OR (original_gone AND new_count = 0) AS gate4 FROM sec)"""
 
 
@@ -172,9 +172,9 @@ def gate_results(spark, sf_dir):
     )
 
 
-@query("new_security_findings", f"WITH {_GATES_SQL} SELECT CAST(k AS VARCHAR) AS patch_id, path, check_id, message, copies FROM new_rows")
+@query("new_security_findings", f"WITH {_GATES_SQL} SELECT CAST(k AS VARCHAR) AS patch_id, CAST(attempt AS BIGINT) AS attempt, path, check_id, message, copies FROM new_rows")
 def new_security_findings(spark, sf_dir):
-    return gates.new_security_findings(scans(spark, sf_dir)).drop("attempt")
+    return gates.new_security_findings(scans(spark, sf_dir)).withColumn("attempt", F.col("attempt").cast("bigint"))
 
 
 @query("security_diff", f"""WITH {_GATES_SQL} SELECT CAST(k AS VARCHAR) AS patch_id, CAST(attempt AS BIGINT) AS attempt, original_gone, new_count, gate4 AS gate_4_security_clean FROM sec2""")
@@ -183,7 +183,7 @@ def security_diff(spark, sf_dir):
     return diff.select("patch_id", F.col("attempt").cast("bigint").alias("attempt"), "original_gone", "new_count", "gate_4_security_clean")
 
 
-@query("selected_attempts", f"""WITH {_GATES_SQL}, t AS (SELECT g5.k, g5.attempt, g5.supp % 5 <> 0 AND passed AND gate4 AS resolved FROM g5 JOIN sec2 ON sec2.k = g5.k AND sec2.attempt = g5.attempt)
+@query("selected_attempts", f"""WITH {_GATES_SQL}, t AS (SELECT g5.k, g5.attempt, g5.supp % 5 <> 0 AND passed AND gate4 AS resolved FROM g5 JOIN sec2 ON sec2.k = g5.k AND sec2.attempt = g5.attempt WHERE g5.attempt < 3)
 SELECT CAST(k AS VARCHAR) AS patch_id, CAST(coalesce(min(attempt) FILTER (WHERE resolved), max(attempt)) AS BIGINT) AS attempt, bool_or(resolved) AS resolved FROM t GROUP BY k""")
 def selected_attempts(spark, sf_dir):
     tried, results = gated(spark, sf_dir)
