@@ -17,8 +17,8 @@ from faultatlas.plans.layout import cut
 
 # Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -29,6 +29,8 @@ PATTERNS = {
         r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
     ),
 }
+# Every entity has one of these, and few texts without an entity do.
+_SIGN, _TITLES = "[0-9@]", ["Mr", "Ms", "Frau", "Herr", "Madame", "Monsieur", "Señor", "Госпо"]
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _TITLE = r"^(\p{L}+\.?) "
 # Forms of address of women, and names to choose from by gender and script.
@@ -218,7 +220,10 @@ def pseudonymize(docs: DataFrame, key: str = "corpus", text: str = "text", count
     empty text stays; rows of equal text get equal results; repeated rows stay; an
     empty table gives no row.  Only texts with an entity are moved, by their digest.
     """
-    has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
+    sign = F.col(text).rlike(_SIGN)
+    for title in _TITLES:
+        sign = sign | F.contains(F.col(text), F.lit(title))
+    has = F.coalesce(sign & F.col(text).rlike(ANY), F.lit(False))
     columns = docs.columns
     counted = [] if count is None else [F.lit(0).alias(count)]
     clean = docs.where(~has).select(*columns, *counted)
