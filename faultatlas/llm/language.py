@@ -30,6 +30,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def hashed_sample(rows: DataFrame, key: Column, n: int, size: int, seed: int) -> DataFrame:
+    """About ``size`` of ``n`` rows or a few more, those with the smallest hashes, with the hash as ``place``.
+
+    The rows are filtered where they are read, so no task sends more than its share.
+    """
+    share = min(1.0, (1.2 * size + 50) / max(n, 1))
+    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30))
+    return rows.withColumn("place", place).where(F.col("place") < int(share * (1 << 30)))
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters."""
     return _WORD.findall(text.lower()) if text else []
@@ -114,16 +124,13 @@ def fit(
     from a hashed place.  Every fifth of them calibrates.  Without a labelled row the
     model knows no language and answers ``und``.
     """
-    hashed = F.xxhash64(F.col(doc_id), F.lit(seed))
-    room = F.greatest(F.length(text) - sample_chars, F.lit(0)) + 1
+    room = F.greatest(F.length("body") - sample_chars, F.lit(0)) + 1
+    known = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("language"), F.col(text).alias("body"))
+    known = known.where(F.col("language").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    drawn = hashed_sample(known, F.col("doc_id"), known.count(), sample, seed).where("body IS NOT NULL")
+    start = F.pmod(F.xxhash64("doc_id"), room).cast("int") + 1
     taken = (
-        rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-        .where(~held_out(F.col(doc_id)))
-        .select(
-            hashed.alias("place"),
-            F.substring(F.col(text), F.pmod(hashed, room).cast("int") + 1, F.lit(sample_chars)).alias("body"),
-            F.col(lang).alias("language"),
-        )
+        drawn.select("place", F.substring(F.col("body"), start, F.lit(sample_chars)).alias("body"), "language")
         .orderBy("place", "body", "language")
         .limit(sample)
         .collect()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultatlas.llm.language import held_out
+from faultatlas.llm.language import hashed_sample, held_out
 
 PASSAGE_WORDS = 64
 BLOCK_CHARS = 1_000_000
@@ -196,7 +196,8 @@ def fit(
     key = F.col(doc_id)
     marked = labels.where(key.isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     marked = marked.groupBy(key.alias("doc_id")).agg(F.min(label).alias("truth"))
-    chosen = marked.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    drawn = hashed_sample(marked, F.col("doc_id"), marked.count(), sample, seed)
+    chosen = drawn.orderBy("place", "doc_id").limit(sample).drop("place")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
