@@ -18,6 +18,14 @@ from faultatlas.llm.worker import kept
 END_ID = 0
 _PLAIN = re.compile(r"\s |\s\s| \s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+# How byte-level vocabularies write the bytes: printable ones as they are, the others above 255.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(sorted({*range(256)} - _PRINTED))}
+_BEYOND_LATIN = "\u0250"
+
+
+def spelled(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTES)
 
 
 class ChunkEncoder:
@@ -36,10 +44,10 @@ class ChunkEncoder:
         self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.marks = {mark: self._encode([mark])[0] for mark in ("", ".", ",")}
-        # How the model spells a word of ASCII letters behind a blank; None if neither way is its own.
-        samples = ["a", "The", "garden", "HELLO", "Xqzjk", "tionerthre"]
+        # How the model spells a word of Latin letters behind a blank; None if neither way is its own.
+        samples = ["a", "The", "garden", "HELLO", "Xqzjk", "tionerthre", "été", "Größe", "ÑÇÊÀ", "œuvre"]
         whole = self._encode([" " + w for w in samples])
-        spellings = ((lambda w: "Ġ" + w), str.lower)
+        spellings = ((lambda w: spelled(" " + w)), (lambda w: spelled(w.lower())))
         self.spell = next((f for f in spellings if [self._word(f(w)) for w in samples] == whole), None)
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
@@ -59,7 +67,7 @@ class ChunkEncoder:
         for word in words:
             mark = word[-1:] if word[-1:] in (".", ",") else ""
             core = word[:-1] if mark else word
-            if self.spell is None or not (core.isascii() and core.isalpha()):
+            if self.spell is None or not (core.isalpha() and max(core) < _BEYOND_LATIN):
                 rest.append(word)
                 continue
             found = self.known.get(core) or cores.get(core)
