@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -274,7 +275,7 @@ def decoded(pieces: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def decode(column: Iterator) -> Iterator:
+    def decode(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = worker_model(model_path)
         for one in column:
             yield one.map(lambda x: None if x is None else model.decode(np.asarray(x)))
