@@ -67,7 +67,8 @@ class ChunkEncoder:
         for word in words:
             mark = word[-1:] if word[-1:] in (".", ",") else ""
             core = word[:-1] if mark else word
-            if self.spell is None or not (core.isalpha() and max(core) < _BEYOND_LATIN):
+            # A letter whose lower case is not a letter alone (U+0130 gives i and a mark) is not one word to both.
+            if self.spell is None or not (core.isalpha() and max(core) < _BEYOND_LATIN and core.lower().isalpha()):
                 rest.append(word)
                 continue
             found = self.known.get(core) or cores.get(core)

@@ -38,6 +38,20 @@ def test_chunks_give_the_ids_of_the_whole_text(path):
             assert encoder.ids(text).tolist() == [*encode(text), 0]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_latin_letter_is_spelled_as_by_the_library(path):
+    encode, encoder = plain(path), tokens.ChunkEncoder(path)
+    assert encoder.spell is not None
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    words = [f(c) for c in letters for f in ("{}".format, "{}stanbul".format, "Vaz{}".format, "k{}r.".format, "{0}{0},".format)]
+    assert "İstanbul" in words
+    for word in words:
+        text = f"in {word} x"
+        assert encoder.ids(text).tolist() == [*encode(text), 0], word
+    whole = "in " + " ".join(words)
+    assert tokens.ChunkEncoder(path).ids(whole).tolist() == [*encode(whole), 0]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
