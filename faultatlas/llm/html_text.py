@@ -1,6 +1,7 @@
 """All visible text of web pages, laid out as a browser would lay it out.
 
-A tree is built from the tags, with the end tags and wrappers that HTML implies;
+A tree is built from the tags, with the end tags and wrappers that HTML implies; what
+stands in a table outside its cells comes in front of the table, as in browsers;
 rules decide which elements are seen; the visible tree is rendered to text in which
 blocks stand on lines of their own, lists have their marks, and table cells are
 aligned in columns.  Nothing visible is judged to be boilerplate and left out.
@@ -38,8 +39,9 @@ IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
+    "td": ({"td", "th", "caption"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption"}, {"tr", "table"}),
+    "caption": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
@@ -49,6 +51,14 @@ IMPLIED = {
 }
 # A paragraph is not looked for beyond these.
 _P_BOUNDS = frozenset("table td th caption button object template html body li dd".split())
+# Tables hold only these; anything else that stands in them outside cells goes in front of the table.
+_TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
+_IN_TABLES = frozenset("caption colgroup col tbody thead tfoot tr td th script style template".split())
+# What a start tag may stand in directly.
+_HOLDERS = {
+    "caption": {"table"}, "colgroup": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"},
+    "tr": _TABLE_PARTS - {"tr"}, "td": _TABLE_PARTS, "th": _TABLE_PARTS,
+}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -82,9 +92,28 @@ def build(page: str) -> Node:
     open_: list[Node] = [root]
     at = 0
 
+    def table_place() -> int:
+        """Place of the table whose part is open and not a cell; 0 if there is none."""
+        if open_[-1].name in _TABLE_PARTS:
+            for place in range(len(open_) - 1, 0, -1):
+                if open_[place].name not in _TABLE_PARTS:
+                    break
+                if open_[place].name == "table":
+                    return place
+        return 0
+
+    def add(child: Node | str) -> None:
+        """Append to the open element, or in front of the table if that cannot hold it."""
+        blank = not child.strip(" \t\n\r\f") if isinstance(child, str) else child.name in _IN_TABLES
+        place = 0 if blank else table_place()
+        if place:
+            open_[place - 1].children.insert(-1, child)  # an open table is the last child
+        else:
+            open_[-1].children.append(child)
+
     def text(raw: str) -> None:
         if raw:
-            open_[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+            add(html.unescape(raw) if "&" in raw else raw)
 
     def close_upto(place: int) -> None:
         del open_[place:]
@@ -124,19 +153,31 @@ def build(page: str) -> Node:
             gone, bounds = IMPLIED[name]
             last = None
             for place in range(len(open_) - 1, 0, -1):
-                if open_[place].name in bounds:
+                if open_[place].name in bounds or open_[place].name == "template":
                     break
                 if open_[place].name in gone:
                     last = place
             if last is not None:
                 close_upto(last)
+        if name in _HOLDERS:
+            # Leaves what stands in front of the table, up to the part that holds this one.
+            for place in range(len(open_) - 1, 0, -1):
+                if open_[place].name in _HOLDERS[name]:
+                    close_upto(place + 1)
+                    break
+                if open_[place].name in ("td", "th", "caption", "template"):
+                    break
+        elif name == "table" and table_place():
+            close_upto(table_place())
+        elif name == "form" and table_place():
+            continue
         if name in ("td", "th") and open_[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
             open_[-1].children.append(row)
             open_.append(row)
         node = Node(name, attributes(found["attrs"]) if found["attrs"].strip(" /\t\n") else {})
-        open_[-1].children.append(node)
-        if name in VOID:
+        add(node)
+        if name in VOID or name == "colgroup":
             continue
         if name in RAW:
             stop = re.compile(f"</{name}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(page, at)
@@ -295,10 +336,6 @@ def render(root: Node) -> str:
             for line in table_lines(table_rows(item)):
                 page.line = line
                 page.end()
-            # What stands in a table outside its cells is shown before it by browsers; here behind it.
-            for child in item.children:
-                if isinstance(child, str) and child.strip():
-                    page.inline(_SPACE.sub(" ", child))
             page.space()
             continue
         block, spaced = name in BLOCK, name in SPACED

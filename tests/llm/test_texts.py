@@ -213,6 +213,30 @@ def test_visible_text():
     assert "x" in html_text._safe("<table><tr><td>" * 2000 + "x")
 
 
+@pytest.mark.parametrize(
+    ("page", "shown"),
+    [
+        ("<table><form><tr><td>a<td>b</form></table>c", "a | b\n\nc"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a | b"),
+        ("<table><tbody><form action=x><tr><td>a</form><tr><td>b</table>", "a\nb"),
+        ("<table><div>front</div><tr><td>a</table>behind", "front\n\na\n\nbehind"),
+        ("<table><div>front<tr><td>a<td>b</table>", "front\n\na | b"),
+        ("<table><tr>front<td>a</table>", "front\n\na"),
+        ("<table><tr><td>a</td><b>fr</b>ont<td>b</table>", "front\n\na | b"),
+        ("<table><tbody>front<tr><td>a</table>", "front\n\na"),
+        ("<table><tr><td>a</table><table>front <i>x</i><thead>y<tr><th>h</table>", "a\n\nfront xy\n\nh"),
+        ("<table><colgroup>front<tr><td>a<caption>title</table>", "front\n\ntitle\na"),
+        ("<table><tr><td>a<table><p>in<tr><td>b</table>c</table>", "a\nin\nb\nc"),
+        ("<table><tr><td>a</td><table><tr><td>b</table>c", "a\n\nb\n\nc"),
+        ("<table><img alt=pic><input value=v><tr><td>a<textarea>t</textarea></table>", "picv\n\nat"),
+        ("<table><template><tr><td>no</td></tr>no</template><tr><td>a</table>", "a"),
+        ("<tr><form><td>a</td>b</form>", "ab"),
+    ],
+)
+def test_all_that_stands_in_a_table_is_shown(page, shown):
+    assert html_text.visible_text(page) == shown
+
+
 def test_pages_keep_rows_and_other_columns(spark):
     rows = [(1, "u", "<p>a", "old"), (1, "u", "<p>a", "old"), (2, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, note string")
