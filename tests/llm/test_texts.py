@@ -180,6 +180,26 @@ def test_surrogates_keep_type_format_and_coreference(spark):
     assert other[0] != got[0].text and private.pseudonymize(docs.limit(0)).count() == 0
 
 
+IBANS = [
+    "NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "MK07250120000058984", "AT611904300234573201", "CH9300762011623852957",
+    "DE89370400440532013000", "GB29NWBK60161331926819", "ES9121000418450200051332", "PT50000201231234567890154",
+    "FR1420041010050500013M02606", "IT60X0542811101000000123456", "PL61109010140000071219812874", "MT84MALT011000012345MTLCAST001S",
+    "SC18SSCB11010000000000001497USD", "MU17BOMM0101101030300200000MUR", "ZZ12ABCD34567890123456789012345678", "ZZ121234567890X", "DE8937040044053201300",
+]
+
+
+def test_account_numbers_of_all_lengths_are_replaced_whole(spark):
+    spaced = [" ".join(i[k : k + 4] for k in range(0, len(i), 4)) for i in IBANS]
+    rows = [(k, f"to {a}, or {b} AND {a} IS IT {b}.") for k, (a, b) in enumerate(zip(IBANS, spaced, strict=True))]
+    got = {r.doc_id: r for r in private.pseudonymize(helpers.frame(spark, rows), count="found").collect()}
+    for k, iban in enumerate(IBANS):
+        shape = "".join(r"\d" if c.isdigit() else "[A-Z]" for c in iban)
+        solid = re.match(f"to ({shape}), or ", got[k].text)[1]
+        grouped = " ".join(solid[n : n + 4] for n in range(0, len(solid), 4))
+        assert got[k].text == f"to {solid}, or {grouped} AND {solid} IS IT {grouped}." and got[k].found == 4
+        assert solid[:2] == iban[:2] and not any(iban[n : n + 6] in solid for n in range(len(iban) - 5))
+
+
 def test_clashing_surrogates_are_drawn_again(spark):
     values = [f"{a}{b}0000000" for a in range(10) for b in range(10)]
     entities = spark.createDataFrame([("ip", f"10.0.{k // 250}.{k % 250}") for k in range(400)] + [("ssn", v) for v in values], "kind string, value string")
