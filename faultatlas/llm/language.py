@@ -45,14 +45,26 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Hashed 2- to 4-grams of a word between marks, and the word itself."""
+def subword_blocks(word: str, buckets: int, size: int = 4096) -> Iterator[list[int]]:
+    """Hashed 2- to 4-grams of a whole word between marks, and the word itself.
+
+    A word may be a whole text in scripts without blanks.  A block has the n-grams that
+    start at ``size`` characters, so memory is bounded and no n-gram is lost.
+    """
     if not any(c.isalpha() for c in word):
-        return []
-    marked = f"<{word[:64]}>".encode("utf-32-le")
-    ends = range(0, len(marked) + 1, 4)
-    grams = [marked[a : a + 4 * n] for n in (2, 3, 4) for a in ends if a + 4 * n <= len(marked)]
-    return [zlib.crc32(g) % buckets for g in (*grams, marked)]
+        return
+    marked, whole = f"<{word}>", 0
+    for at in range(0, len(marked), size):
+        here = marked[at : at + size + 3].encode("utf-32-le")
+        whole = zlib.crc32(here[: 4 * size], whole)
+        starts = range(0, min(4 * size, len(here)), 4)
+        yield [zlib.crc32(here[a : a + 4 * n]) % buckets for n in (2, 3, 4) for a in starts if a + 4 * n <= len(here)]
+    yield [whole % buckets]
+
+
+def subwords(word: str, buckets: int) -> list[int]:
+    """All hashed subwords of a word."""
+    return [i for block in subword_blocks(word, buckets) for i in block]
 
 
 @dataclass
@@ -72,7 +84,7 @@ class LanguageModel:
 
 
 class Scorer:
-    """Scores texts; the sums of up to ``remembered`` words are kept between them."""
+    """Scores texts; the sums of up to ``remembered`` words of at most 64 letters are kept between them."""
 
     def __init__(self, model: LanguageModel, remembered: int = 400_000):
         self.model, self.remembered = model, remembered
@@ -80,8 +92,10 @@ class Scorer:
         self.sums = np.zeros((1024, len(model.languages) + 1), np.float32)
 
     def _sum(self, word: str) -> np.ndarray:
-        ids = subwords(word, len(self.model.table))
-        return np.append(self.model.table[ids].sum(0), len(ids))
+        total = np.zeros(self.sums.shape[1])
+        for ids in subword_blocks(word, len(self.model.table)):
+            total += np.append(self.model.table[ids].sum(0), len(ids))
+        return total
 
     def _totals(self, words: list[str]) -> np.ndarray:
         beyond = np.zeros(self.sums.shape[1])
@@ -89,7 +103,7 @@ class Scorer:
         for w in words:
             k = self.row.get(w)
             if k is None:
-                if len(self.row) >= self.remembered:
+                if len(self.row) >= self.remembered or len(w) > 64:
                     beyond += self._sum(w)
                     continue
                 k = self.row[w] = len(self.row)

@@ -56,6 +56,31 @@ def test_language_labels_of_held_out_rows_do_not_matter(spark):
     assert one.languages == other.languages and np.array_equal(one.table, other.table)
 
 
+def test_runs_without_blanks_count_whole():
+    pick, buckets = random.Random(4), 1 << 12
+    table = np.random.default_rng(4).normal(size=(buckets, 3)).astype(np.float32)
+    model = language.LanguageModel(["a", "b", "c"], table, np.zeros(3, np.float32), 0.02, 0.5)
+    for n in (1, 2, 63, 64, 65, 200, 4093, 4094, 4095, 4096, 4097, 8190, 8191, 100_000):
+        run = "".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(n))
+        marked = f"<{run}>"
+        grams = [marked[k : k + m] for m in (2, 3, 4) for k in range(len(marked) - m + 1)] + [marked]
+        ids = [zlib.crc32(g.encode("utf-32-le")) % buckets for g in grams]
+        assert Counter(language.subwords(run, buckets)) == Counter(ids)
+        scorer = language.Scorer(model)
+        p = model.probabilities(table[ids].astype(float).mean(0))
+        for _ in range(2):
+            found = scorer.score(run)
+            assert found[0] == model.languages[int(p.argmax())] and abs(found[1] - p.max()) < 1e-3
+        assert all(len(w) <= 64 for w in scorer.row)
+
+
+def test_language_of_a_run_is_not_that_of_its_start(spark):
+    rows = [(k, helpers.prose(k, 40, GERMAN if k % 2 else helpers.WORDS), "de" if k % 2 else "en") for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    run = "".join(helpers.WORDS)[:70] + "".join(GERMAN) * 1000
+    assert language.Scorer(model).score(run)[0] == "de"
+
+
 def junk(k):
     return " ".join(w + random.Random(k).choice(["&&&", "***", "%%%"]) for w in helpers.prose(k, 50).split())
 
