@@ -266,6 +266,24 @@ def test_pages_keep_rows_and_other_columns(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_pipeline_finds_near_copies_by_five_words_and_eighty_percent(spark):
+    import corpus_pipeline
+
+    def likeness(a, b, n):
+        x, y = ({tuple(t[k : k + n]) for k in range(len(t) - n + 1)} for t in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    def changed(words, at, n):
+        return " ".join([*words[:at], *(f"new{k}" for k in range(n)), *words[at + n :]])
+
+    first, second = ([f"{name}{k}" for k in range(200)] for name in ("one", "two"))
+    near, far = changed(first, 90, 15), changed(second, 90, 20)
+    assert likeness(" ".join(first), near, 5) >= 0.8 and likeness(" ".join(first), near, 4) < 0.85
+    assert likeness(" ".join(second), far, 5) < 0.8
+    docs = helpers.frame(spark, [(1, " ".join(first)), (2, near), (3, " ".join(second)), (4, far)])
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [1, 3, 4]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
