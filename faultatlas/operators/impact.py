@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.functions import text
+from faultatlas.operators.reach import first_reached
 from faultatlas.plans.layout import bounded_list, cut, top_per
 
 _STRONG = ("CALLS", "TESTS")
@@ -162,11 +163,13 @@ def blast_radius(analysis: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def related_files(members: DataFrame, deps: DataFrame, limit: int = 6, python_only: bool = False) -> DataFrame:
+def related_files(deps: DataFrame, files: DataFrame, limit: int = 6, python_only: bool = False, hops: int = 3) -> DataFrame:
     """The files most worth reading next to a file, in order of relevance.
 
-    Dependencies, then direct dependents, tests and the rest of the impact; a
-    file counts at its first place and the file itself never.
+    Dependencies, then direct dependents, tests and the rest of the impact; a file
+    counts at its first place and the file itself never.  The impact is walked only
+    for files that the first two groups leave open, which have fewer than ``limit``
+    direct neighbours.
     """
     def ranked(df: DataFrame, group: int, key: Column) -> DataFrame:
         return df.select(
@@ -174,39 +177,54 @@ def related_files(members: DataFrame, deps: DataFrame, limit: int = 6, python_on
             F.struct(F.lit(group).alias("group"), key.alias("key")).alias("place"),
         )
 
+    def first(places: DataFrame) -> DataFrame:
+        best = (
+            places.where(F.col("file") != F.col("related"))
+            .groupBy("repo_key", "file", "related")
+            .agg(F.min("place").alias("place"))
+        )
+        return top_per(best, ["repo_key", "file"], [F.col("place"), F.col("related")], limit, rank="position")
+
     by_name = F.array(F.lit(""), F.col("node"))
     by_walk = F.concat(F.array(F.lpad(F.col("depth").cast("string"), 4, "0")), F.col("path"))
     dependencies = deps.select("repo_key", F.col("consumer").alias("root"), F.col("dependency").alias("node"))
-    production, tests = members.where(~F.col("is_test")), members.where("is_test")
-    places = (
-        ranked(dependencies, 0, by_name)
-        .unionByName(ranked(production.where("depth = 1"), 1, by_name))
-        .unionByName(ranked(tests, 2, by_name))
-        .unionByName(ranked(production.where("depth > 1"), 3, by_walk))
-        .where(F.col("file") != F.col("related"))
-        .groupBy("repo_key", "file", "related")
-        .agg(F.min("place").alias("place"))
+    dependents = deps.where(~text.is_python_test(F.col("consumer"))).select(
+        "repo_key", F.col("dependency").alias("root"), F.col("consumer").alias("node")
+    )
+    near = cut(first(ranked(dependencies, 0, by_name).unionByName(ranked(dependents, 1, by_name))))
+    full = near.where(F.col("position") == limit).select("repo_key", "file")
+    open_files = cut(files.select("repo_key", F.col("path").alias("file")).join(full, ["repo_key", "file"], "left_anti"))
+    members = impact_members(impact_paths(deps, open_files, hops))
+    further = (
+        ranked(members.where("is_test"), 2, by_name)
+        .unionByName(ranked(members.where(~F.col("is_test") & (F.col("depth") > 1)), 3, by_walk))
+        .unionByName(near.drop("position").join(open_files, ["repo_key", "file"], "left_semi"))
     )
-    kept = top_per(places, ["repo_key", "file"], [F.col("place"), F.col("related")], limit, rank="position")
+    kept = first(further).unionByName(near.join(full, ["repo_key", "file"], "left_semi"))
     if python_only:
         kept = kept.where(F.col("related").endswith(".py"))
     return kept.select("repo_key", "file", "position", "related")
 
 
-def context_summary(files: DataFrame, symbols: DataFrame, members: DataFrame, deps: DataFrame) -> DataFrame:
-    """A short text block per file: symbols, dependencies, dependents, tests."""
+def context_summary(files: DataFrame, symbols: DataFrame, deps: DataFrame, hops: int = 3) -> DataFrame:
+    """A short text block per file: symbols, dependencies, dependents, tests.
+
+    The tests are the first of all within ``hops``; only the first ones of each file
+    are passed on, so no row per pair of files is made.
+    """
     def first(df: DataFrame, value: str, k: int, name: str) -> DataFrame:
         return bounded_list(df, ["repo_key", "file"], [F.col(value)], value, k, name)
 
+    is_test = text.is_python_test(F.col("consumer"))
     functions = symbols.where(F.col("kind") == "Function").select("repo_key", "file", "qualified_name").distinct()
     dependencies = deps.select("repo_key", F.col("consumer").alias("file"), "dependency")
-    rooted = members.withColumnRenamed("root", "file")
+    dependents = deps.where(~is_test).select("repo_key", F.col("dependency").alias("file"), F.col("consumer").alias("node"))
     joined = files.select("repo_key", F.col("path").alias("file"))
     for part in (
         first(functions, "qualified_name", 20, "_symbols"),
         first(dependencies, "dependency", 8, "_dependencies"),
-        first(rooted.where(~F.col("is_test") & (F.col("depth") == 1)), "node", 8, "_dependents"),
-        first(rooted.where("is_test"), "node", 8, "_tests"),
+        first(dependents, "node", 8, "_dependents"),
+        first(first_reached(deps, is_test, 8, hops), "node", 8, "_tests"),
     ):
         joined = joined.join(part, ["repo_key", "file"], "left")
 

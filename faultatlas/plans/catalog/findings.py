@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from faultatlas.functions import text
 from faultatlas.operators import findings as ops
-from faultatlas.operators import impact, review
+from faultatlas.operators import impact, reach, review
 from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.graph import _ANALYSIS
 from faultatlas.plans.catalog.registry import query, table
@@ -65,10 +65,14 @@ def finding_search(spark, sf_dir):
 
 def blast_of_findings(spark, sf_dir, findings, hops=3):
     """Impact measures of the files that have findings, each file once."""
-    deps = cut(views.file_deps(spark, sf_dir))
     seeds = findings.select("repo_key", F.col("file_path").alias("file")).distinct()
-    members = impact.impact_members(impact.impact_paths(deps, seeds, hops))
-    return impact.analyze_change(members, deps, views.file_names(spark, sf_dir), seeds), members, deps
+    return reach.reach_summary(cut(views.file_deps(spark, sf_dir)), views.file_names(spark, sf_dir), hops, seeds)
+
+
+def members_of_findings(spark, sf_dir, findings, hops=3):
+    """What a change of each file with findings reaches, a row each."""
+    seeds = findings.select("repo_key", F.col("file_path").alias("file")).distinct()
+    return impact.impact_members(impact.impact_paths(cut(views.file_deps(spark, sf_dir)), seeds, hops))
 
 
 @query("enriched_findings", f"""WITH {sql.RAW_FINDINGS}, {sql.impact(3)}, {_ANALYSIS}
@@ -78,7 +82,7 @@ FROM findings f JOIN analysed a ON a.file = f.file_path WHERE issue_class <> 'co
 def enriched_findings(spark, sf_dir):
     fixable, _ = ops.split_fixable(deduped(spark, sf_dir))
     fixable = cut(fixable)
-    blast, _, _ = blast_of_findings(spark, sf_dir, fixable)
+    blast = blast_of_findings(spark, sf_dir, fixable)
     counts = ("blast_radius", "direct_dependents", "related_tests", "module_count")
     return ops.enrich_findings(fixable, blast).select(
         "finding_id", "file_path", *[F.col(c).cast("bigint").alias(c) for c in counts], "impact_confidence", "root_cause"

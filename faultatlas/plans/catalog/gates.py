@@ -274,7 +274,7 @@ def critical_paths(spark, sf_dir):
 def changes(spark, sf_dir):
     """One change per file with fixable findings, scored by its number of findings."""
     findings = cut(split_fixable(deduped(spark, sf_dir))[0])
-    blast, _, _ = blast_of_findings(spark, sf_dir, findings)
+    blast = blast_of_findings(spark, sf_dir, findings)
     n = F.col("finding_count")
     lists = publication.issue_lists(findings)
     reach = blast.select("repo_key", "file", F.col("file_count").alias("blast_radius"), "module_count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultatlas.operators import graph, impact, python_source, repo_map, resolution, text_patterns
+from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
 from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.registry import query, table
 from faultatlas.plans.layout import cut
@@ -252,10 +252,11 @@ def file_dependencies(spark, sf_dir):
 
 # ---------------------------------------------------------------- traversals
 
-@query("impact_paths", f"""WITH {sql.impact(3)}
+@query("impact_paths", f"""WITH {sql.impact(3, "changed")}
 SELECT root, node, CAST(depth AS BIGINT) AS depth, array_to_string(path, '>') AS path, evidence FROM paths""")
 def impact_paths(spark, sf_dir):
-    paths = impact.impact_paths(cut(views.file_deps(spark, sf_dir)), hops=3)
+    """The paths from every file asked about to all that its change reaches."""
+    paths = impact.impact_paths(cut(views.file_deps(spark, sf_dir)), views.changed_files(spark, sf_dir), hops=3)
     return paths.select(
         "root", "node", F.col("depth").cast("bigint").alias("depth"), F.array_join("path", ">").alias("path"), "evidence"
     )
@@ -278,24 +279,26 @@ analysed AS (SELECT * EXCLUDE (strong), boundary_count > 1 AS crosses_service_bo
   FROM analysis)"""
 
 
-def _analysis(spark, sf_dir, hops):
-    deps = cut(views.file_deps(spark, sf_dir))
-    members = impact.impact_members(impact.impact_paths(deps, hops=hops))
-    return deps, members
-
-
 def _bigints(df, *columns):
     return df.select(*[F.col(c).cast("bigint").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 @query("impact_summary", f"WITH {sql.impact(3)}, {_ANALYSIS} SELECT * FROM analysed")
 def impact_summary(spark, sf_dir):
-    deps, members = _analysis(spark, sf_dir, 3)
-    analysed = impact.analyze_change(members, deps, views.file_names(spark, sf_dir)).drop("repo_key")
+    deps = cut(views.file_deps(spark, sf_dir))
+    analysed = reach.reach_summary(deps, views.file_names(spark, sf_dir), 3).drop("repo_key")
     return _bigints(analysed, "file_count", "direct_dependents", "related_tests", "path_count", "module_count",
                     "direct_dependencies", "boundary_count")
 
 
+@query("impact_boundaries", f"""WITH {sql.impact(3)}
+SELECT root AS file, service_boundary, is_test, count(*) AS files FROM members GROUP BY 1, 2, 3""")
+def impact_boundaries(spark, sf_dir):
+    """The boundaries that a change of each file crosses, as rows."""
+    found = reach.impact_boundaries(cut(views.file_deps(spark, sf_dir)), 3)
+    return found.groupBy("file", "service_boundary", "is_test").agg(F.sum("n").alias("files"))
+
+
 @query("blast_radius", f"""WITH {sql.impact(2)}, {_ANALYSIS}, {_EDGES.replace(sql.FILE_DEPS + ', ', '')},
 near AS (SELECT DISTINCT a.root, e.dst, e.dst_type FROM (
     SELECT path AS root, path AS file FROM files UNION ALL SELECT root, node FROM members WHERE NOT is_test) a
@@ -313,6 +316,19 @@ def blast_radius(spark, sf_dir):
     )
 
 
+@query("blast_members", f"""WITH {sql.impact(2, "changed")}, {_EDGES.replace(sql.FILE_DEPS + ', ', '')},
+near AS (SELECT a.root, e.dst, e.dst_type, bool_and(e.edge_type = 'CALLS') AS is_callee FROM (
+    SELECT file AS root, file FROM changed UNION ALL SELECT root, node FROM members WHERE NOT is_test) a
+  JOIN edges e ON e.src_file = a.file WHERE e.dst_type IN ('Function', 'APIEndpoint', 'DBModel') GROUP BY ALL)
+SELECT root AS file, dst AS node_id, dst_type AS node_type, is_callee FROM near""")
+def blast_members(spark, sf_dir):
+    """What lies in the blast radius of the files asked about, one row each."""
+    built = _graph(spark, sf_dir)
+    deps, asked = cut(graph.file_dependencies(built.edges)), cut(views.changed_files(spark, sf_dir))
+    members = impact.impact_members(impact.impact_paths(deps, asked, 2))
+    return impact.blast_members(members, built.files, built.edges, asked).drop("repo_key")
+
+
 @query("neighbours", f"""WITH {sql.FILE_DEPS}, u AS (
   SELECT DISTINCT consumer AS a, dependency AS b FROM deps UNION SELECT dependency, consumer FROM deps),
 h1 AS (SELECT a AS seed, b AS node FROM u),
@@ -336,8 +352,8 @@ best AS (SELECT file, related, min(row(g, depth, key)) AS place FROM places WHER
 ranked AS (SELECT file, related, row_number() OVER (PARTITION BY file ORDER BY place, related) AS position FROM best)
 SELECT file, CAST(position AS BIGINT) AS position, related FROM ranked WHERE position <= 6""")
 def related_files(spark, sf_dir):
-    deps, members = _analysis(spark, sf_dir, 3)
-    return _bigints(impact.related_files(members, deps).drop("repo_key"), "position")
+    related = impact.related_files(cut(views.file_deps(spark, sf_dir)), views.file_names(spark, sf_dir))
+    return _bigints(related.drop("repo_key"), "position")
 
 
 @query("context_summary", _SYMBOLS_SQL.replace(f"WITH {sql.FILE_DEPS}", f"WITH {sql.impact(3)}") + """,
@@ -350,9 +366,8 @@ x AS (SELECT f.path AS file,
 SELECT file, concat('Defined symbols: ', coalesce(symbols, 'none'), chr(10), 'Direct dependencies: ', coalesce(dependencies, 'none'), chr(10),
   'Direct dependents: ', coalesce(dependents, 'none'), chr(10), 'Related tests: ', coalesce(tests, 'none')) AS summary FROM x""")
 def context_summary(spark, sf_dir):
-    deps, members = _analysis(spark, sf_dir, 3)
     symbols = python_source.symbols(_parsed(spark, sf_dir))
-    return impact.context_summary(views.file_names(spark, sf_dir), symbols, members, deps).drop("repo_key")
+    return impact.context_summary(views.file_names(spark, sf_dir), symbols, cut(views.file_deps(spark, sf_dir))).drop("repo_key")
 
 
 # Places to trace: one per lineitem row.

@@ -27,16 +27,19 @@ def boundary(path_column: str) -> str:
     return f"split_part({path_column}, '/', 1)"
 
 
-CODE_EDGES = """code_edges AS (
+CODE_EDGES = """code_edges AS MATERIALIZED (
   SELECT DISTINCT src, dst FROM (
-    SELECT min(CASE WHEN l_linenumber = 1 AND l_quantity >= 30 THEN l_partkey END) AS src,
-           min(CASE WHEN l_linenumber = 2 THEN l_partkey END) AS dst
-    FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY l_orderkey)
+    SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem)
   WHERE src <> dst)"""
 
+# The files asked about: per supplier the part shipped last.
+CHANGED = f"""changed AS (
+  SELECT DISTINCT {path('k')} AS file FROM (
+    SELECT l_suppkey, arg_max(l_partkey, row(l_shipdate, -l_partkey)) AS k FROM lineitem GROUP BY l_suppkey))"""
+
 # Edges that the parser can see: files with k % 97 = 5 do not parse.
 FILE_DEPS = f"""{CODE_EDGES},
-deps AS (
+deps AS MATERIALIZED (
   SELECT src, dst, {path('src')} AS consumer, {path('dst')} AS dependency,
          CASE WHEN (src + dst) % 3 <> 0 THEN 'CALLS' WHEN src % 10 = 0 THEN 'TESTS' ELSE 'IMPORTS' END AS evidence
   FROM code_edges WHERE src % 97 <> 5),
@@ -46,12 +49,13 @@ files AS (
   FROM part)"""
 
 
-def impact(hops: int) -> str:
-    """Breadth-first levels with the least path, on top of FILE_DEPS."""
-    levels = ["l1 AS (SELECT dependency AS root, consumer AS node, 1 AS depth, [dependency, consumer] AS path, evidence FROM deps)"]
+def impact(hops: int, roots: str | None = None) -> str:
+    """Breadth-first levels with the least path, on top of FILE_DEPS; ``roots`` names a table of files."""
+    asked = f" WHERE dependency IN (SELECT file FROM {roots})" if roots else ""
+    levels = [f"l1 AS MATERIALIZED (SELECT dependency AS root, consumer AS node, 1 AS depth, [dependency, consumer] AS path, evidence FROM deps{asked})"]
     for d in range(2, hops + 1):
         seen = " UNION ALL ".join(f"SELECT root, node FROM l{i}" for i in range(1, d))
-        levels.append(f"""l{d} AS (
+        levels.append(f"""l{d} AS MATERIALIZED (
   SELECT root, node, {d} AS depth, p[1] AS path, p[2] AS evidence FROM (
     SELECT l.root, d.consumer AS node, min(row(list_append(l.path, d.consumer), d.evidence)) AS p
     FROM l{d - 1} l JOIN deps d ON d.dependency = l.node
@@ -61,7 +65,7 @@ def impact(hops: int) -> str:
     union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(1, hops + 1))
     levels.append(f"paths AS ({union})")
     levels.append(f"members AS (SELECT *, {is_test('node')} AS is_test, {boundary('node')} AS service_boundary FROM paths)")
-    return FILE_DEPS + ",\n" + ",\n".join(levels)
+    return FILE_DEPS + (f",\n{CHANGED}" if roots == "changed" else "") + ",\n" + ",\n".join(levels)
 
 
 def seq(*parts: str) -> str:

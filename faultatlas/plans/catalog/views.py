@@ -6,7 +6,7 @@ Paths are pure functions of the part key, so no join is spent on naming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultatlas.operators.findings import finding_id
@@ -31,24 +31,23 @@ def path_of(key: Column) -> Column:
 
 
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): the part of line 1 uses the part of line 2, one pair per order.
+    """(src, dst): in every order the part of a line uses the part of the next line.
 
-    One aggregation per order, no self-join: an order that holds a third of all
-    rows still gives one pair.
+    Lines of one number go by part, so equal inputs give equal pairs.  The window holds
+    the lines of one order; rows are two numbers, and a long order spills.
     """
-    line, key = F.col("l_linenumber"), F.col("l_partkey")
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(line.isin(1, 2))
-        .groupBy("l_orderkey")
-        .agg(
-            F.min(F.when((line == 1) & (F.col("l_quantity") >= 30), key)).alias("src"),
-            F.min(F.when(line == 2, key)).alias("dst"),
-        )
-        .where("src <> dst")
-        .select("src", "dst")
-        .distinct()
+    lines = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("src"), F.lead("l_partkey").over(lines).alias("dst")
     )
+    return pairs.where("src <> dst").distinct()
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_key, file): the files asked about, per supplier the part shipped last."""
+    last = F.max_by("l_partkey", F.struct(F.col("l_shipdate"), -F.col("l_partkey"))).alias("k")
+    asked = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(last).select("k").distinct()
+    return asked.select(F.lit(REPO).alias("repo_key"), path_of(F.col("k")).alias("file"))
 
 
 def file_deps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from faultatlas.operators import graph, impact, python_source, repo_map, resolution, text_patterns
+from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
 from faultatlas.plans.repository_map import file_report, repository_map
 
 SHOP = {
@@ -249,3 +249,76 @@ def test_patterns_know_letters_beyond_ascii(corpus):
     row = scanned.first()
     assert [(r.route, r.method) for r in row.routes] == [("/x", "GET")]
     assert set(row.models) == {"Änder", "Größe"}
+
+
+DEPS = "repo_key string, consumer string, dependency string, evidence string"
+
+
+def random_deps(spark, seed: int, size: int, count: int, kinds: list[str], repo: str = "r"):
+    rng = random.Random(seed)
+    names = [f"s{i % 4}/{'test_' if i % 5 == 0 else ''}m{i:03d}.py" for i in range(size)]
+    pairs = {(a, b) for a, b in ((rng.choice(names), rng.choice(names)) for _ in range(count)) if a != b}
+    rows = [(repo, a, b, rng.choice(kinds)) for a, b in sorted(pairs)]
+    return spark.createDataFrame(rows, DEPS), spark.createDataFrame([(repo, n) for n in names], "repo_key string, path string")
+
+
+def test_bitmaps_measure_what_paths_measure(spark, monkeypatch):
+    """Also with blocks that split groups, hubs merged in slices and evidence that only paths settle."""
+    weak = ["IMPORTS"] * 8
+    for seed, size, count, kinds, block in ((1, 40, 70, [*weak, "CALLS"], 8192), (2, 60, 400, ["IMPORTS", "CALLS", "TESTS"], 16), (3, 30, 35, weak, 8)):
+        monkeypatch.setattr(reach, "BLOCK", block)
+        monkeypatch.setattr(reach, "_SLICE", 3)
+        deps, files = random_deps(spark, seed, size, count, kinds)
+        for hops in (1, 3):
+            members = impact.impact_members(impact.impact_paths(deps, hops=hops))
+            want = {tuple(r) for r in impact.analyze_change(members, deps, files).collect()}
+            assert {tuple(r) for r in reach.reach_summary(deps, files, hops).collect()} == want
+
+
+def test_blast_counts_equal_distinct_members(spark, monkeypatch):
+    monkeypatch.setattr(reach, "BLOCK", 16)
+    rng = random.Random(4)
+    deps, files = random_deps(spark, 5, 40, 90, ["CALLS"])
+    names = [r.path for r in files.collect()]
+    kinds = {"Function": "f", "APIEndpoint": "a", "DBModel": "d", "Class": "c"}
+    rows = [("r", n, f"{k}{rng.randint(0, 60)}", kind, "CALLS") for n in names for kind, k in kinds.items() for _ in range(3)]
+    edges = spark.createDataFrame(rows, "repo_key string, src_file string, dst string, dst_type string, edge_type string")
+    for hops in (1, 2):
+        members = impact.impact_members(impact.impact_paths(deps, hops=hops))
+        analysed = impact.analyze_change(members, deps, files)
+        want = impact.blast_radius(analysed, impact.blast_members(members, files, edges))
+        assert {tuple(r) for r in reach.blast_report(deps, files, edges, hops).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_a_hub_makes_no_pairs(spark):
+    """1,500 files use a hub that uses 1,500 others: counts come without 2 million rows."""
+    rows = [("r", f"in/m{i:04d}.py", "hub/h.py", "IMPORTS") for i in range(1500)]
+    rows += [("r", "hub/h.py", f"out/m{i:04d}.py", "IMPORTS") for i in range(1500)]
+    deps = spark.createDataFrame(rows, DEPS)
+    files = deps.select("repo_key", F.explode(F.array("consumer", "dependency")).alias("path")).distinct()
+    found = {r.file: r for r in reach.reach_summary(deps, files, 3).collect()}
+    assert len(found) == 3001
+    assert (found["out/m0007.py"].path_count, found["out/m0007.py"].boundary_count) == (1501, 3)
+    assert (found["hub/h.py"].path_count, found["in/m0001.py"].path_count) == (1500, 0)
+    sets = reach.impact_boundaries(deps, 3)
+    assert {(r.service_boundary, r.n) for r in sets.where("file = 'out/m0007.py'").collect()} == {("hub", 1), ("in", 1500)}
+    assert sets.count() == 2 * 1500 + 1
+
+
+def test_first_tests_and_related_files_equal_the_whole_impact(spark):
+    for seed, size, count in ((6, 40, 60), (7, 40, 300)):
+        deps, files = random_deps(spark, seed, size, count, ["CALLS"])
+        members = impact.impact_members(impact.impact_paths(deps, hops=3)).collect()
+        pairs = {(r.consumer, r.dependency) for r in deps.collect()}
+        got, related = {}, {}
+        for r in reach.first_reached(deps, impact.text.is_python_test(F.col("consumer")), 4, 3).collect():
+            got.setdefault(r.file, {})[r.position] = r.node
+        for r in impact.related_files(deps, files, limit=6).collect():
+            related.setdefault(r.file, {})[r.position] = r.related
+        for (root,) in {(r.path,) for r in files.collect()}:
+            own = [m for m in members if m.root == root]
+            tests = sorted(m.node for m in own if m.is_test)[:4]
+            assert got.get(root, {}) == dict(enumerate(tests, 1))
+            order = sorted(b for a, b in pairs if a == root) + sorted(m.node for m in own if m.depth == 1 and not m.is_test)
+            order += sorted(m.node for m in own if m.is_test) + [m.node for m in sorted(own, key=lambda m: (m.depth, m.path)) if not m.is_test and m.depth > 1]
+            assert related.get(root, {}) == dict(enumerate(list(dict.fromkeys(order))[:6], 1))
