@@ -42,9 +42,11 @@ def _iban() -> str:
     return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|[A-Z]{{2}}[0-9]{{2}}(?:{more}))"
 
 
+# Part of a host name; all its repetitions are possessive, which the engine runs as loops, not by recursion.
+_LABEL = r"[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+"
 # Patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@{_LABEL}(?:\.{_LABEL})++",
     "secret": r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "iban": _iban(),
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9])",
@@ -74,6 +76,10 @@ _SYLLABLES = {
 }
 
 
+# Draws from which a surrogate may start with any digit, be an entity of the corpus, and be another one's too.
+_ANY_START, _MAY_BE_REAL, _MAY_SHARE = 3, 6, 10
+
+
 def kind_of(mention: Column) -> Column:
     """Kind of a mention: the first pattern that takes all of it."""
     chosen = None
@@ -113,18 +119,17 @@ def _number(hexadecimal: Column, place: int) -> Column:
 def _like(value: Column, digits: Column, letters: Column) -> Column:
     """``value`` with every letter and digit replaced by one of its own class."""
 
-    def one(k: Column) -> Column:
-        here = F.substring(value, k, F.lit(1))
-        at = ((k - 1) % 128) + 1
+    def one(here: Column, k: Column) -> Column:
+        at = (k % 128) + 1
         letter = F.substring(letters, at, F.lit(1))
         return (
-            F.when(here.rlike("[0-9]"), F.substring(digits, at, F.lit(1)))
-            .when(here.rlike("[a-z]"), letter)
-            .when(here.rlike("[A-Z]"), F.upper(letter))
+            F.when(here.between("0", "9"), F.substring(digits, at, F.lit(1)))
+            .when(here.between("a", "z"), letter)
+            .when(here.between("A", "Z"), F.upper(letter))
             .otherwise(here)
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0)), one), "")
 
 
 def _passes_check(digits: Column) -> Column:
@@ -141,7 +146,7 @@ def _passes_check(digits: Column) -> Column:
 def _name(value: Column, stream: Column, attempt: Column) -> Column:
     """A name for the same form of address, gender, script and number of parts.
 
-    From the third draw on family names are longer, so many names do not run out.
+    Family names grow with the draws, so many names do not run out.
     """
     title = F.regexp_extract(value, _TITLE, 1)
     gender = F.when(title.isin(*_FEMALE), "female").otherwise("male")
@@ -166,8 +171,9 @@ def surrogate(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     stream = _stream(key, "surrogate", kind, value, attempt)
     digits = _digits(stream)
     letters = F.translate(_stream(key, "letters", kind, value, attempt), "0123456789abcdef", "bcdfghjklmnpqrstv")
-    # The first digit of a number stays, so lengths and issuers stay valid; a number with a check digit gets one.
-    number = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(1), F.length(value) - 1))
+    # The first digit of a number stays at first, so lengths and issuers stay valid; a number with a check digit gets one.
+    opening = F.when(attempt < _ANY_START, F.substring(value, 1, 1)).otherwise(F.substring(digits, 128, 1))
+    number = F.concat(opening, F.substring(digits, F.lit(1), F.length(value) - 1))
     body = F.substring(number, F.lit(1), F.length(value) - 1)
     checked = [F.concat(body, F.lit(str(d))) for d in range(10)]
     card = F.when(_passes_check(value), F.get(F.filter(F.array(*checked), _passes_check), F.lit(0))).otherwise(number)
@@ -215,7 +221,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, value, surrogate`` of distinct entities; no two of a kind share a surrogate.
 
     A surrogate that another entity has too (the one with the smaller value keeps it),
-    or that is an entity of the corpus, is drawn again.
+    or that is an entity of the corpus, is drawn again.  Where the entities fill nearly
+    all values of their format, the rules are given up one after the other, so the
+    draws end: first the first digit, then being no entity, at last being the only one.
     """
     drawn = cut(
         entities.select("kind", "value", F.lit(0).alias("attempt")).withColumn(
@@ -226,7 +234,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     while True:
         owner = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("owner"))
         seen = drawn.join(owner, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        clash = (F.col("value") != F.col("owner")) | F.col("real").isNotNull()
+        shared = (F.col("value") != F.col("owner")) & (F.col("attempt") < _MAY_SHARE)
+        clash = shared | (F.col("real").isNotNull() & (F.col("attempt") < _MAY_BE_REAL))
         marked = cut(seen.select("kind", "value", "attempt", "surrogate", clash.alias("clash")))
         if not marked.where("clash").limit(1).count():
             return marked.select("kind", "value", "surrogate")
@@ -247,6 +256,9 @@ def pseudonymize(docs: DataFrame, key: str = "corpus", text: str = "text", count
     empty text stays; rows of equal text get equal results; repeated rows stay; an
     empty table gives no row.  Only texts with an entity are moved, by their digest.
     """
+    # Names for columns that come and go, unlike any of the input's.
+    mark = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    digest, lists_of, whole = f"{mark}digest", f"{mark}shown", f"{mark}body"
     sign = F.col(text).rlike(_SIGN)
     for title in _TITLES:
         sign = sign | F.contains(F.col(text), F.lit(title))
@@ -254,24 +266,24 @@ def pseudonymize(docs: DataFrame, key: str = "corpus", text: str = "text", count
     columns = docs.columns
     counted = [] if count is None else [F.lit(0).alias(count)]
     clean = docs.where(~has).select(*columns, *counted)
-    marked = docs.where(has).withColumn("__digest", F.sha2(F.col(text), 256))
+    marked = docs.where(has).withColumn(digest, F.sha2(F.col(text), 256))
     mentions = (
-        marked.select("__digest", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("place", "mention"))
-        .groupBy("__digest", "place")
+        marked.select(digest, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).alias("place", "mention"))
+        .groupBy(digest, "place")
         .agg(F.first("mention").alias("mention"))
     )
     kind = kind_of(F.col("mention"))
     mentions = cut(mentions.withColumn("kind", kind).withColumn("value", canonical(F.col("kind"), F.col("mention"))))
     table = surrogates(mentions.select("kind", "value").distinct(), key)
     replaced = mentions.join(table, ["kind", "value"]).select(
-        "__digest", "place", shown_as(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("shown")
+        digest, "place", shown_as(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("shown")
     )
     # The mentions of one text, which its own length bounds.
-    lists = replaced.groupBy("__digest").agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias("__shown"))
+    lists = replaced.groupBy(digest).agg(F.array_sort(F.collect_list(F.struct("place", "shown"))).alias(lists_of))
     gaps = F.split(F.col(text), ANY, -1)
-    shown = F.transform("__shown", lambda x: x["shown"])
+    shown = F.transform(lists_of, lambda x: x["shown"])
     body = F.array_join(F.zip_with(gaps, shown, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    joined = marked.join(lists, "__digest").withColumn("__body", body)
-    chosen = [F.col("__body").alias(c) if c == text else F.col(f"`{c}`") for c in columns]
-    counted = [] if count is None else [F.size("__shown").alias(count)]
+    joined = marked.join(lists, digest).withColumn(whole, body)
+    chosen = [F.col(whole).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    counted = [] if count is None else [F.size(lists_of).alias(count)]
     return joined.select(*chosen, *counted).unionByName(clean)

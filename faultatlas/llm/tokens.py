@@ -3,7 +3,9 @@
 A text is cut at single spaces between two non-blank characters.  Both public
 vocabularies used here start a new word at such a place (one keeps the blank with
 the next word, the other drops blanks), so the ids of the text are the ids of the
-chunks in a row, and a chunk that occurs again is looked up, not encoded again.
+chunks in a row, and a chunk that occurs again is looked up, not encoded again.  The
+strings of special tokens hold no blank, so they stay inside a chunk and get the ids
+that the library gives them.
 """
 
 from __future__ import annotations
@@ -39,7 +41,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.remembered = remembered
         self.known: dict[str, bytes] = {}

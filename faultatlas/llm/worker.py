@@ -1,4 +1,4 @@
-"""Objects that a Python worker keeps for all tasks that it runs."""
+"""The object that a Python worker keeps for all tasks of one kind that it runs."""
 
 from __future__ import annotations
 
@@ -10,12 +10,14 @@ _STORE = "faultatlas_worker"
 
 
 def kept(key: Hashable, make: Callable):
-    """The object made for ``key``, made once in a worker.
+    """The object made for ``key``, made once in a worker and dropped when another key is asked for.
 
     Task code arrives anew with every task; what is registered under a module name
-    stays.  Used for caches of bounded size only.
+    stays.  Used for caches of bounded size only, so a worker that has run many stages
+    holds the cache of one.
     """
     store = sys.modules.setdefault(_STORE, ModuleType(_STORE)).__dict__.setdefault("kept", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]

@@ -212,6 +212,35 @@ def test_clashing_surrogates_are_drawn_again(spark):
     assert len({r.surrogate for r in small}) == 4 and not {r.surrogate for r in small} & {"60", "61", "62", "63"}
 
 
+def test_full_formats_end_the_draws(spark):
+    """All values of a format are entities: the draws end, and as many as can be are distinct."""
+    entities = spark.createDataFrame([("ssn", f"{k:02d}") for k in range(100)], "kind string, value string")
+    found = private.surrogates(entities, "k").collect()
+    assert len(found) == 100 and all(re.fullmatch(r"\d\d", r.surrogate) for r in found)
+    assert len({r.surrogate for r in found}) > 60
+
+
+def test_long_runs_like_entities_end_no_job(spark):
+    """For every pattern a run that nearly or really fits, far longer than any entity."""
+    long = 20_000
+    runs = [
+        "a@" + ".".join(["b"] * long) + ".com", "a@" + "-".join(["b"] * long) + ".com", "a." * long + "@x.org", "a@" + "b." * long,
+        "x@" + "y" * long, "1" * long, "0a" * long, "A" * long, "GB29" + " ABCD" * long, "GB29" + "ABCD" * long, "+1" + " 23" * long,
+        "1." * long, "1234-" * long, "Mrs " + "A" * long, "Mrs " + "Abc " * long, "Frau " + "A-" * long, "123-45-" * long,
+    ]
+    rows = [(k, f"see {run} end") for k, run in enumerate(runs)]
+    got = {r.doc_id: r.text for r in private.pseudonymize(helpers.frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(t.startswith("see ") and t.endswith(" end") for t in got.values())
+    assert runs[0] not in got[0] and runs[1] not in got[1]
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "mail a.b@c.org", "x", "y", "z"), (2, "none", "x", "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string, __body string, __shown string")
+    got = sorted(map(tuple, private.pseudonymize(docs).collect()))
+    assert [r[2:] for r in got] == [r[2:] for r in rows] and got[1] == rows[1] and "a.b@c.org" not in got[0][1]
+
+
 def test_odd_rows_pass_through_surrogates(spark):
     got = private.pseudonymize(helpers.frame(spark, helpers.odd_rows())).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter(helpers.odd_rows())

@@ -24,13 +24,14 @@ PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_chunks_give_the_ids_of_the_whole_text(path):
     texts = [t for _, t in helpers.odd_rows()] + [" a", "a ", "a  b", "a \n b", "it's we'll 's", "x y z", "á ́b", "\x1c a", "A.B, c"]
+    for mark in ("<|endoftext|>", "<|startoftext|>", "<|EndOfText|>"):
+        texts += [f"a {mark} b", f"{mark}", f" {mark}", f"{mark} x", f"a{mark}b {mark}{mark}", f"in  {mark}  y", f"é, {mark}. é", f"a <|endof {mark[2:]}"]
     encode = plain(path)
     for remembered in (1_000_000, 3):
         encoder = tokens.ChunkEncoder(path, remembered)
