@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultatlas.llm.worker import forget
+
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -201,6 +203,7 @@ def language_of(model: LanguageModel, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         scorer = Scorer(shared["model"])
         for one in series:
             yield pd.DataFrame([scorer.score(t) for t in one], columns=["lang_pred", "score", "accepted"])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultatlas.llm.tokens import ids_crc32, worker_encoder
+from faultatlas.llm.worker import forget
 from faultatlas.plans.layout import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -168,6 +169,7 @@ def pack(
     short = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)).cast("int"))
 
     def first_epoch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        forget()
         rows = rows.sort_values("row")
         lengths = rows["length"].to_numpy()
         best = Packer(lengths, capacity, seed + 1000 * key[0] + key[1]).evolve([], population, generations)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.llm.language import hashed_sample, held_out
+from faultatlas.llm.worker import forget
 
 PASSAGE_WORDS = 64
 BLOCK_CHARS = 1_000_000
@@ -228,6 +229,7 @@ def quality_of(model: QualityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         encoder, known = Encoder(), shared["model"]
         for one in series:
             bags = (encoder.passages(t) for t in one)

@@ -37,7 +37,7 @@ class ChunkEncoder:
     encoded each time they occur, so the bound changes the time only.
     """
 
-    def __init__(self, path: str, remembered: int = 1_500_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

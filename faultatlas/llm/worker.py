@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Hashable
 from types import ModuleType
 
+import pyarrow as pa
+
 _STORE = "faultatlas_worker"
 
 
@@ -16,8 +20,29 @@ def kept(key: Hashable, make: Callable):
     stays.  Used for caches of bounded size only, so a worker that has run many stages
     holds the cache of one.
     """
-    store = sys.modules.setdefault(_STORE, ModuleType(_STORE)).__dict__.setdefault("kept", {})
-    if key not in store:
-        store.clear()
-        store[key] = make()
-    return store[key]
+    if key not in _store():
+        forget()
+        _store()[key] = make()
+    return _store()[key]
+
+
+def forget() -> None:
+    """Drop what tasks of another kind kept, and give its memory back to the system.
+
+    Called first by tasks that keep nothing: workers run the tasks of all stages, and
+    the pages of a dropped cache stay with the process unless it is asked to trim them.
+    """
+    store = _store()
+    if not store:
+        return
+    store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a system without this call
+        pass
+
+
+def _store() -> dict:
+    return sys.modules.setdefault(_STORE, ModuleType(_STORE)).__dict__.setdefault("kept", {})
