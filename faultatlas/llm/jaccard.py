@@ -28,13 +28,14 @@ from faultatlas.plans.layout import cut
 _BUCKET_BITS = 18  # shingle frequencies are counted in so many hashed buckets
 _BLOOM_BITS = 20
 _BINS = 32
+_TEXTS = 500
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Shingler:
     """64-bit hashes of the word shingles of texts."""
 
-    def __init__(self, words: int, seed: int = 0, remembered: int = 250_000):
+    def __init__(self, words: int, seed: int = 0, remembered: int = 60_000):
         import xxhash
 
         self.words, self.remembered = words, remembered
@@ -294,19 +295,21 @@ def _sets(bodies: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFr
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, bits = worker_shingler(words, seed), set(), np.unpackbits(shared.value)
-        for batch in batches:
-            found = []
-            for number, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                if not bits[(-1 if number is None else number) % len(bits)]:
-                    continue
-                s = shingler.shingles(body.as_py())
-                node, _ = set_keys(s)
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    found.append((node, s.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"]
-            )
+        for whole in batches:
+            # Sets are as large as their texts, so a few texts at a time.
+            for begin in range(0, whole.num_rows, _TEXTS):
+                batch, found = whole.slice(begin, _TEXTS), []
+                for number, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                    if not bits[(-1 if number is None else number) % len(bits)]:
+                        continue
+                    s = shingler.shingles(body.as_py())
+                    node, _ = set_keys(s)
+                    if len(s) and node not in seen:
+                        seen.add(node)
+                        found.append((node, s.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"]
+                )
 
     return bodies.mapInArrow(sets, "node long, shingles binary")
 
