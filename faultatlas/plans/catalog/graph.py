@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
+from faultatlas.operators import cycles, graph, impact, python_source, reach, repo_map, resolution, text_patterns
 from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.registry import query, table
 from faultatlas.plans.layout import cut
@@ -411,8 +411,38 @@ c AS (
 SELECT array_to_string(cycle, ' -> ') AS chain, CAST(len(cycle) AS BIGINT) AS length FROM (
   SELECT cycle, row_number() OVER (ORDER BY len(cycle), cycle) AS rn FROM c) WHERE rn <= 10""")
 def circular_dependencies(spark, sf_dir):
-    cycles = graph.circular_dependencies(views.file_deps(spark, sf_dir))
-    return cycles.select(F.array_join("cycle", " -> ").alias("chain"), F.col("length").cast("bigint").alias("length"))
+    found = graph.circular_dependencies(views.file_deps(spark, sf_dir))
+    return found.select(F.array_join("cycle", " -> ").alias("chain"), F.col("length").cast("bigint").alias("length"))
+
+
+# Per service boundary, the files whose uses lead around inside it; the boundary is the repository.
+_INSIDE = f"""WITH RECURSIVE {sql.FILE_DEPS},
+inside AS MATERIALIZED (SELECT {sql.boundary('consumer')} AS repo_key, consumer AS a, dependency AS b FROM deps
+  WHERE {sql.boundary('consumer')} = {sql.boundary('dependency')}),
+walk(a, b) AS (SELECT a, b FROM inside UNION SELECT w.a, i.b FROM walk w JOIN inside i ON i.a = w.b)"""
+
+
+@query("cycle_components", f"""{_INSIDE}
+SELECT {sql.boundary('x.a')} AS repo_key, least(x.a, min(x.b)) AS component, x.a AS file
+FROM walk x JOIN walk y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""")
+def cycle_components(spark, sf_dir):
+    deps = views.file_deps(spark, sf_dir).withColumn("repo_key", F.substring_index("consumer", "/", 1))
+    return cycles.cycle_components(deps.where(F.substring_index("dependency", "/", 1) == F.col("repo_key")))
+
+
+_CYCLES = f"""{sql.FILE_DEPS}, e AS (SELECT consumer AS a, dependency AS b FROM deps),
+c AS (SELECT [x.a, x.b] AS cycle FROM e x JOIN e y ON y.a = x.b AND y.b = x.a WHERE x.a < x.b)"""
+
+
+@query("cycle_findings", f"""WITH {_CYCLES}
+SELECT 'code_quality' AS issue_class, 'medium' AS severity, 'Circular dependency detected' AS title,
+  concat('Files form a circular import chain: ', array_to_string(cycle, ' -> ')) AS description, cycle[1] AS file_path,
+  'repo_mapper' AS tool_source, substr(sha256(concat('main|', array_to_string(cycle, '|'))), 1, 16) AS finding_id
+FROM (SELECT cycle, row_number() OVER (ORDER BY cycle) AS rn FROM c) WHERE rn <= 10""")
+def cycle_findings(spark, sf_dir):
+    """Findings of the first cycles; the given tables have more than ten of two files at every scale."""
+    found = cycles.findings_of_cycles(views.file_deps(spark, sf_dir))
+    return found.select("issue_class", "severity", "title", "description", "file_path", "tool_source", "finding_id")
 
 
 # ------------------------------------------------------------------- the map
