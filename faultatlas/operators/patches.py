@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import re
 import sys
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 
 from faultatlas import schemas
 from faultatlas.functions import text
-from faultatlas.plans.layout import bounded_list
+from faultatlas.plans.layout import bounded_list, numbered_parts, rank_within
 
 # Task code travels with the plan, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +30,8 @@ FILE_MARKER = r"(?dmU)^[ \t>#*`\-]*FILE:\s*(.+?)\s*$"
 MAX_CHANGED_SHARE = 0.60
 SMALL_FILE_LINES = 25
 
-_APPLIED_COLUMNS = [part.split(" ")[0] for part in schemas.APPLIED.split(", ")]
+_NEWLINE, _LINE = re.compile(r"\r\n?"), re.compile(r"[^\n]*\n|[^\n]+")
+_APPLIED_COLUMNS = ["patch_id", "file_path", "new_content", "unified_diff", "edits_applied", "edits_total", "problems", "ok", "first_seq"]
 
 
 def parse_edits(replies: DataFrame) -> DataFrame:
@@ -114,71 +118,117 @@ def reject_unsafe_paths(edits: DataFrame, column: str = "file_path") -> tuple[Da
     return edits.where(safe), edits.where(~safe)
 
 
-def _unix(content: str) -> str:
-    return content.replace("\r\n", "\n").replace("\r", "\n")
-
-
-def _loose_span(content: str, search: str) -> tuple[int, int] | None:
-    """Offsets of the only run of lines equal to ``search`` but for trailing blanks."""
-    wanted = [line.rstrip() for line in search.split("\n")]
-    have = content.split("\n")
-    stripped = [line.rstrip() for line in have]
-    starts = [i for i in range(len(have) - len(wanted) + 1) if stripped[i : i + len(wanted)] == wanted]
-    if len(starts) != 1:
-        return None
-    begin = sum(len(line) + 1 for line in have[: starts[0]])
-    return begin, begin + len("\n".join(have[starts[0] : starts[0] + len(wanted)]))
-
-
-def _anchor(search: str) -> str:
-    return repr(search.strip().splitlines()[0][:80]) if search.strip() else "''"
-
-
-def _apply_one(content: str, number: int, search: str, replace: str) -> tuple[str, str | None]:
-    """(content, error) after one edit; the search text must fit exactly one place."""
-    if not search:
-        return content, f"Edit {number}: empty SEARCH block — skipped."
-    places = content.count(search)
-    if places == 1:
-        return content.replace(search, replace, 1), None
-    if places > 1:
-        return content, (
-            f"Edit {number}: SEARCH text is ambiguous — matches {places} places (near: {_anchor(search)}). "
-            "Add more surrounding context to make it unique."
-        )
-    span = _loose_span(content, search)
-    if span is None:
-        return content, f"Edit {number}: SEARCH text not found (near: {_anchor(search)})."
-    return content[: span[0]] + replace + content[span[1] :], None
-
-
-def _rejection(old: str, new: str) -> str | None:
-    """Why a result is not a surgical change, or None."""
-    if not new.strip():
-        return "Patch produced an empty file — rejected."
-    before, after = _unix(old).split("\n"), _unix(new).split("\n")
-    if len(before) <= SMALL_FILE_LINES:
-        return None
-    blocks = difflib.SequenceMatcher(a=before, b=after, autojunk=False).get_opcodes()
-    changed = sum(max(i2 - i1, j2 - j1) for tag, i1, i2, j1, j2 in blocks if tag != "equal")
-    share = changed / len(before)
-    if share <= MAX_CHANGED_SHARE:
-        return None
-    return (
-        f"Patch changes {share:.0%} of the file ({changed}/{len(before)} lines) — "
-        "rejected as a likely full-file rewrite. Produce minimal targeted edits."
-    )
-
-
-def _diff(old: str, new: str, path: str) -> str:
-    return "".join(
-        difflib.unified_diff(
-            _unix(old).splitlines(keepends=True),
-            _unix(new).splitlines(keepends=True),
-            fromfile=f"a/{path}",
-            tofile=f"b/{path}",
-        )
-    )
+@dataclass(frozen=True)
+class Comparison:
+    """What one matching of two line lists tells: hunks, counts, and the share that changed."""
+
+    before: list[str]
+    after: list[str]
+
+    @cached_property
+    def _matcher(self) -> difflib.SequenceMatcher:
+        return difflib.SequenceMatcher(None, self.before, self.after, autojunk=False)
+
+    @classmethod
+    def of(cls, old: str, new: str, breaks: bool = True) -> Comparison:
+        """Lines with their line breaks, or without, so that a missing last one makes no difference."""
+        sides = [_LINE.findall(_NEWLINE.sub("\n", content)) for content in (old, new)]
+        return cls(*(side if breaks else [line.removesuffix("\n") for line in side] for side in sides))
+
+    @cached_property
+    def changes(self) -> list[tuple[list[str], list[str]]]:
+        """Lines taken out and put in, place by place."""
+        return [(self.before[a:b], self.after[c:d]) for tag, a, b, c, d in self._matcher.get_opcodes() if tag != "equal"]
+
+    @property
+    def changed_lines(self) -> int:
+        return sum(max(len(out), len(put)) for out, put in self.changes)
+
+    def counts(self) -> tuple[int, int]:
+        """Lines added and removed; one whose mark makes it look like a file header is not counted."""
+        added = sum(not line.startswith("++") for _, put in self.changes for line in put)
+        removed = sum(not line.startswith("--") for out, _ in self.changes for line in out)
+        return added, removed
+
+    def unified(self, path: str, context: int = 3) -> str:
+        if not self.changes:
+            return ""
+        out = [f"--- a/{path}\n+++ b/{path}\n"]
+        for hunk in self._matcher.get_grouped_opcodes(context):
+            (_, a, _, c, _), (_, _, b, _, d) = hunk[0], hunk[-1]
+            out.append(f"@@ -{_extent(a, b)} +{_extent(c, d)} @@\n")
+            for tag, low, high, low_new, high_new in hunk:
+                if tag == "equal":
+                    out += [" " + line for line in self.before[low:high]]
+                else:
+                    out += ["-" + line for line in self.before[low:high]] + ["+" + line for line in self.after[low_new:high_new]]
+        return "".join(out)
+
+
+def _extent(begin: int, end: int) -> str:
+    """A range of lines as hunk headers write it."""
+    size = end - begin
+    return str(end) if size == 1 else f"{begin + (size > 0)},{size}"
+
+
+def _places(content: str, wanted: str) -> list[tuple[int, int]]:
+    """Where a text stands: as it is, or where nowhere, as whole lines with other blanks at their ends."""
+    exact = [(m.start(), m.end()) for m in re.finditer(re.escape(wanted), content)]
+    if exact:
+        return exact
+    by_line = r"[^\S\n]*\n".join(re.escape(line.rstrip()) for line in wanted.split("\n"))
+    # Looking ahead, so that places which overlap count each.
+    loose = [m.span(1) for m in re.finditer(rf"(?m)^(?=({by_line}[^\S\n]*)$)", content)]
+    return loose if len(loose) == 1 else []
+
+
+class FileEdits:
+    """One file while its edits go in, in order; every edit must fit exactly one place."""
+
+    def __init__(self, patch_id: str, path: str, content: str | None):
+        self.patch_id, self.path, self.original = patch_id, path, content
+        self.content = None if content is None else _NEWLINE.sub("\n", content)
+        self.first_seq: int | None = None
+        self.total = 0
+        self.problems: list[dict] = []
+
+    def _problem(self, code: str, figure: int = 0, total: int = 0, near: str = "", edit: int = 0) -> None:
+        self.problems.append({"code": code, "edit": edit, "figure": figure, "total": total, "near": near})
+
+    def edit(self, seq: int, search: str, replace: str) -> None:
+        if not self.total:
+            self.first_seq = seq
+        self.total += 1
+        if self.content is None:
+            return
+        places = _places(self.content, search) if search else []
+        if len(places) == 1:
+            begin, end = places[0]
+            self.content = f"{self.content[:begin]}{replace}{self.content[end:]}"
+            return
+        code = "blank_search" if not search else "many_places" if places else "no_place"
+        self._problem(code, len(places), near=search.strip().partition("\n")[0][:80], edit=self.total)
+
+    def row(self) -> tuple:
+        if self.content is None:
+            self._problem("no_content")
+            return self.patch_id, self.path, None, "", 0, self.total, self.problems, False, self.first_seq
+        applied = self.total - len(self.problems)
+        compared = Comparison.of(self.original, self.content)
+        lines = self.content_lines
+        if not self.content.strip():
+            self._problem("nothing_left")
+        elif lines > SMALL_FILE_LINES and compared.changed_lines > MAX_CHANGED_SHARE * lines:
+            self._problem("rewritten", compared.changed_lines, lines)
+        surgical = len(self.problems) + applied == self.total
+        diff = compared.unified(self.path) if applied else ""
+        ok = surgical and applied > 0 and bool(compared.changes)
+        return self.patch_id, self.path, self.content, diff, applied, self.total, self.problems, ok, self.first_seq
+
+    @property
+    def content_lines(self) -> int:
+        """Pieces of the old content between line breaks."""
+        return _NEWLINE.sub("\n", self.original).count("\n") + 1
 
 
 def _apply_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,53 +236,41 @@ def _apply_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Only the file at hand is held, however many edits it has.
     """
-    key = old = new = first = None
-    total, errors = 0, []
-
-    def finished() -> dict:
-        if old is None:
-            return {
-                "patch_id": key[0], "file_path": key[1], "new_content": None, "unified_diff": "", "edits_applied": 0,
-                "edits_total": total, "errors": ["The file has no content to edit."], "ok": False, "first_seq": first,
-            }
-        refused = _rejection(old, new)
-        applied = total - len(errors)
-        problems = [*errors, *([refused] if refused else [])]
-        changed = applied > 0 and new != old
-        return {
-            "patch_id": key[0],
-            "file_path": key[1],
-            "new_content": new,
-            "unified_diff": _diff(old, new, key[1]) if changed else "",
-            "edits_applied": applied,
-            "edits_total": total,
-            "errors": problems,
-            "ok": not refused and applied > 0 and new != _unix(old),
-            "first_seq": first,
-        }
+    at: FileEdits | None = None
+
+    def rows(files: list[FileEdits]) -> pd.DataFrame:
+        return pd.DataFrame([f.row() for f in files if f.total], columns=_APPLIED_COLUMNS)
 
     for batch in batches:
-        out = []
+        done = []
         for row in batch.itertuples(index=False):
-            if (row.patch_id, row.file_path) != key:
-                if key is not None and total:
-                    out.append(finished())
-                key, old, total, errors = (row.patch_id, row.file_path), None, 0, []
-            if row.is_content:
-                if isinstance(row.content, str):
-                    old, new = row.content, _unix(row.content)
-                continue
-            first = row.seq if not total else first
-            total += 1
-            if old is None:
-                continue
-            new, problem = _apply_one(new, total, _unix(row.search or ""), _unix(row.replace or ""))
-            if problem:
-                errors.append(problem)
-        if out:
-            yield pd.DataFrame(out, columns=_APPLIED_COLUMNS)
-    if key is not None and total:
-        yield pd.DataFrame([finished()], columns=_APPLIED_COLUMNS)
+            if at is None or (at.patch_id, at.path) != (row.patch_id, row.file_path):
+                done += [at] if at else []
+                at = FileEdits(row.patch_id, row.file_path, row.content if isinstance(row.content, str) else None)
+            if not row.is_content:
+                at.edit(row.seq, row.search, row.replace)
+        if done:
+            yield rows(done)
+    if at is not None:
+        yield rows([at])
+
+
+def problem_text(problem: Column) -> Column:
+    """The sentence of a problem that an edit or a file has."""
+    number = F.concat(F.lit("Edit "), problem["edit"].cast("string"))
+    near, figure = F.concat(F.lit("`"), problem["near"], F.lit("`")), problem["figure"].cast("string")
+    sentences = {
+        "blank_search": F.concat(number, F.lit(" does not say what to look for.")),
+        "many_places": F.concat(number, F.lit(" fits "), figure, F.lit(" places; more lines around "), near, F.lit(" would tell them apart.")),
+        "no_place": F.concat(number, F.lit(" fits no place; no lines like "), near, F.lit(" were found.")),
+        "nothing_left": F.lit("Nothing of the file would be left."),
+        "rewritten": F.concat(F.lit("The edits touch "), figure, F.lit(" of "), problem["total"].cast("string"), F.lit(" lines, which is a new file rather than a repair.")),
+        "no_content": F.lit("The file has no content to edit."),
+    }
+    chosen = F.lit(None).cast("string")
+    for code, sentence in sentences.items():
+        chosen = F.when(problem["code"] == code, sentence).otherwise(chosen)
+    return chosen
 
 
 def apply_edits(contents: DataFrame, edits: DataFrame) -> DataFrame:
@@ -251,31 +289,28 @@ def apply_edits(contents: DataFrame, edits: DataFrame) -> DataFrame:
         F.lit(True).alias("is_content"),
     ).unionByName(
         edits.select(
-            "patch_id", "file_path", "seq", none.alias("content"), "search", "replace", F.lit(False).alias("is_content")
+            "patch_id", "file_path", "seq", none.alias("content"),
+            *(text.unix_newlines(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("search", "replace")), F.lit(False).alias("is_content"),
         )
     )
     return (
         rows.repartition("patch_id", "file_path")
         .sortWithinPartitions("patch_id", "file_path", F.desc("is_content"), "seq")
         .mapInPandas(_apply_sorted, schemas.APPLIED)
+        .withColumn("errors", F.transform("problems", problem_text))
     )
 
 
 @F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     """Three lines of context, ``a/`` and ``b/`` headers."""
-    return pd.Series([_diff(o, n, p) for o, n, p in zip(old, new, path)])
-
-
-def _counts(old: str, new: str) -> tuple[int, int]:
-    diff = list(difflib.unified_diff(_unix(old).splitlines(), _unix(new).splitlines(), lineterm=""))
-    return tuple(sum(line[:1] == sign and line[:3] != sign * 3 for line in diff) for sign in "+-")
+    return pd.Series([Comparison.of(o, n).unified(p) for o, n, p in zip(old, new, path, strict=True)])
 
 
 @F.pandas_udf(T.StructType([T.StructField("additions", T.IntegerType()), T.StructField("deletions", T.IntegerType())]))
 def diff_stats(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Added and removed lines between two contents; ``+++`` counts as a header."""
-    return pd.DataFrame([_counts(o, n) for o, n in zip(old, new)], columns=["additions", "deletions"])
+    return pd.DataFrame([Comparison.of(o, n, breaks=False).counts() for o, n in zip(old, new, strict=True)], columns=["additions", "deletions"])
 
 
 def diff_text_stats(diffs: DataFrame, column: str = "unified_diff") -> DataFrame:
@@ -295,6 +330,16 @@ def patch_files(applied: DataFrame) -> DataFrame:
     return applied.where(_changed()).select("patch_id", "file_path", "first_seq", "new_content", "unified_diff")
 
 
+def patch_diffs(applied: DataFrame, part_size: int = 1000) -> DataFrame:
+    """The joined diff of every patch, files in the order of the reply: ``patch_id, part, files, unified_diff``.
+
+    A patch over more than ``part_size`` files has more parts.
+    """
+    ranked = rank_within(patch_files(applied).drop("new_content"), ["patch_id"], [F.col("first_seq"), F.col("file_path")])
+    parts = numbered_parts(ranked, ["patch_id"], "position", {"files": F.col("file_path"), "diffs": F.col("unified_diff")}, part_size)
+    return parts.select("patch_id", "part", "files", F.array_join("diffs", "").alias("unified_diff"))
+
+
 def patch_errors(patches: DataFrame, applied: DataFrame, unknown: DataFrame) -> DataFrame:
     """Every error of every patch as ``patch_id, file_path, place, error``.
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from faultatlas.operators import approval, gates, publication
+from faultatlas.operators import approval, gates, publication, python_source
 from faultatlas.operators.findings import split_fixable
 from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.findings import blast_of_findings, deduped
@@ -15,6 +15,9 @@ from faultatlas.plans.catalog.registry import query, table
 from faultatlas.plans.layout import checkpoint_folder, cut
 from faultatlas.sources import tables
 
+# Patterns of the functions that a change has to be approved for.
+CRITICAL_FUNCTIONS = [r"\.step$"]
+
 _FIXABLE = f"""{sql.RAW_FINDINGS},
 fixable AS (SELECT * FROM findings WHERE issue_class <> 'code_quality' AND severity_rank >= 1)"""
 
@@ -292,30 +295,34 @@ def changes(spark, sf_dir):
         (n % 6 == 0).alias("memory_hit"),
         F.lit(False).alias("is_first_item"),
     )
-    touches = F.lit(False)
-    critical = approval.is_critical_path(F.col("file"), F.col("primary_severity"), touches)
-    return approval.approval(approval.confidence(joined).withColumn("is_critical_path", critical))
+    # Functions called ``step`` count as critical here, so that some files have one and others none.
+    symbols = python_source.symbols(python_source.parse_python(views.code_files(spark, sf_dir)))
+    functions = symbols.select("repo_key", "file", F.col("symbol_id").alias("node_id"), F.col("kind").alias("node_type"))
+    touched = approval.critical_functions(functions, CRITICAL_FUNCTIONS).withColumn("_touches", F.lit(True))
+    joined = joined.join(touched, ["repo_key", "file"], "left").fillna(False, ["_touches"])
+    critical = approval.is_critical_path(F.col("file"), F.col("primary_severity"), F.col("_touches"))
+    return approval.approval(approval.confidence(joined).withColumn("is_critical_path", critical).drop("_touches"))
 
 
 _CHANGES_SQL = f"""{_FIXABLE}, {sql.impact(3)}, {_ANALYSIS},
 p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY severity_rank DESC, source_priority, seq) AS best,
    row_number() OVER (PARTITION BY file_path ORDER BY source_priority, seq) AS place, count(*) OVER (PARTITION BY file_path) AS n FROM fixable),
 ids AS (SELECT file_path, string_agg(finding_id, ',' ORDER BY place) AS finding_ids,
-   string_agg(concat('- **', title, '** (', issue_class, '/', severity, CASE WHEN line_number > 0 THEN concat(', line ', line_number) ELSE '' END, ')',
-     CASE WHEN root_cause IS NOT NULL THEN concat(' — ', root_cause) ELSE '' END), chr(10) ORDER BY place) AS issue_lines FROM p GROUP BY file_path),
+   string_agg(concat('* ', severity, ': ', title, ' [', issue_class, ']', CASE WHEN line_number > 0 THEN concat(' at line ', line_number) ELSE '' END,
+     CASE WHEN root_cause IS NOT NULL THEN concat('; cause: ', root_cause) ELSE '' END), chr(10) ORDER BY place) AS issue_lines FROM p GROUP BY file_path),
 c0 AS (SELECT p.file_path AS file, p.finding_id, p.title, p.severity, p.root_cause, n, finding_ids, issue_lines, file_count, module_count,
    (CASE WHEN n % 3 <> 0 THEN 40 ELSE 0 END) AS t, (CASE WHEN n % 7 <> 0 AND n % 5 <> 0 THEN 25 ELSE 0 END) AS s, (CASE WHEN n % 2 = 0 THEN 10 ELSE 0 END) AS a, (CASE WHEN n % 6 = 0 THEN 15 ELSE 0 END) AS m
-   FROM p JOIN ids ON ids.file_path = p.file_path JOIN analysed ON analysed.file = p.file_path WHERE best = 1),
-c AS (SELECT *, CASE WHEN n % 4 <> 0 THEN t + s + a + m ELSE least(t + s + a + m, 60) END AS points, severity IN ('high', 'critical') AS critical FROM c0)"""
+   , k % 11 = 0 AND k % 97 <> 5 AS touches
+   FROM p JOIN ids ON ids.file_path = p.file_path JOIN analysed ON analysed.file = p.file_path JOIN files ON files.path = p.file_path WHERE best = 1),
+c AS (SELECT *, CASE WHEN n % 4 <> 0 THEN t + s + a + m ELSE least(t + s + a + m, 60) END AS points, severity IN ('high', 'critical') OR touches AS critical FROM c0)"""
 
 
 @query("pr_records", f"""WITH {_CHANGES_SQL}
 SELECT file, finding_id, finding_ids, CASE WHEN n = 1 THEN concat('[Fix] ', title) ELSE concat('[Fix] ', file, ': ', n, ' issues (', severity, '+)') END AS title,
   concat('fix/', finding_id, '-20260102-030405') AS branch_name, CASE WHEN n % 3 = 0 THEN concat(file, '>other.py') ELSE file END AS files_changed,
   CAST(points / 100.0 AS DOUBLE) AS total_score, critical AS is_critical_path,
-  CASE WHEN file_count = 0 THEN 'Isolated change — no other files affected' WHEN file_count <= 2 THEN concat('Narrow blast radius: ', file_count, ' file(s) affected')
-    WHEN file_count <= 8 THEN concat('Moderate blast radius: ', file_count, ' files across ', module_count, ' module(s)')
-    ELSE concat('Wide blast radius: ', file_count, ' files across ', module_count, ' module(s) — careful review advised') END AS blast_radius_summary,
+  CASE WHEN file_count = 0 THEN 'Reaches no other file' ELSE concat(CASE WHEN file_count <= 2 THEN 'Narrow' WHEN file_count <= 8 THEN 'Moderate' ELSE 'Wide' END,
+    ': reaches ', file_count, ' other files in ', module_count, ' modules', CASE WHEN file_count > 8 THEN '; review every caller' ELSE '' END) END AS blast_radius_summary,
   coalesce(root_cause, '') AS root_cause_explanation, points < 70 OR critical AS requires_approval FROM c""")
 def pr_records(spark, sf_dir):
     records = publication.pr_records(changes(spark, sf_dir), F.lit("2026-01-02 03:04:05").cast("timestamp"))
@@ -327,15 +334,14 @@ def pr_records(spark, sf_dir):
 
 
 @query("pr_bodies", f"""WITH {_CHANGES_SQL}, nl AS (SELECT chr(10) AS x)
-SELECT file, md5(concat('## Fixes in `', file, '`', x, x, 'Fixes ', n, ' issue(s) in `', file, '`.', x, x, '### Issues addressed', x, issue_lines,
-  CASE WHEN n % 3 = 0 THEN concat(x, x, '### Files changed (cross-file fix)', x, '- `', file, '`', x, '- `other.py`') ELSE '' END,
-  x, x, '---', x, x, '### Confidence Score: ', points, '%', x, x, '| Signal | Weight | Status |', x, '|--------|--------|--------|', x,
-  '| Tests Passed | +40% | ', CASE WHEN t > 0 THEN '✅' WHEN n % 4 = 0 THEN 'N/A (no tests)' ELSE 'Unavailable/failed' END, ' |', x,
-  '| Security Clean | +25% | ', CASE WHEN s > 0 THEN '✅' WHEN n % 7 = 0 THEN 'Unavailable' ELSE 'Failed' END, ' |', x,
-  '| AST Valid | +10% | ', CASE WHEN a > 0 THEN '✅' ELSE '❌' END, ' |', x, '| Cache Hit | +15% | ', CASE WHEN m > 0 THEN '✅' ELSE '❌' END, ' |', x,
-  '| Fix Order | +10% | ❌ |', x, x, '**', CASE WHEN points < 70 OR critical THEN '🔒 Human approval required' ELSE '✅ Auto-merge eligible' END, '** ',
-  CASE WHEN critical THEN '⚠️ CRITICAL PATH' ELSE '' END, x,
-  CASE WHEN n % 2 = 0 THEN concat(x, x, '### Diff', x, '```diff', x, left(repeat(concat('+line', x), 1100), 6000), x, '... (diff truncated)', x, '```') ELSE '' END, x)) AS body FROM c, nl""")
+SELECT file, md5(concat('# ', file, ': ', n, ' findings fixed', x, x, issue_lines, x, x,
+  CASE WHEN n % 3 = 0 THEN concat('Changed together: ', file, ', other.py', x, x) ELSE '' END,
+  'Score ', points, ' of 100: ', CASE WHEN points < 70 OR critical THEN 'a person has to approve' ELSE 'may be merged automatically' END,
+  CASE WHEN critical THEN ' (critical path)' ELSE '' END, x, x, '| signal | weight | counted |', x, '|---|---|---|', x,
+  '| tests | 40 | ', CASE WHEN t > 0 THEN 'yes' WHEN n % 4 = 0 THEN 'no tests' ELSE 'no' END, ' |', x,
+  '| security scan | 25 | ', CASE WHEN s > 0 THEN 'yes' WHEN n % 7 = 0 THEN 'no scanner' ELSE 'no' END, ' |', x,
+  '| syntax | 10 | ', CASE WHEN a > 0 THEN 'yes' ELSE 'no' END, ' |', x, '| known fix | 15 | ', CASE WHEN m > 0 THEN 'yes' ELSE 'no' END, ' |', x, '| order | 10 | no |',
+  CASE WHEN n % 2 = 0 THEN concat(x, x, '```diff', x, left(repeat(concat('+line', x), 1100), 6000), x, '(the diff goes on)', x, '```') ELSE '' END)) AS body FROM c, nl""")
 def pr_bodies(spark, sf_dir):
     return publication.pr_body(changes(spark, sf_dir)).select("file", F.md5("body").alias("body"))
 

@@ -138,6 +138,33 @@ def patch_results(spark, sf_dir):
     )
 
 
+@query("patch_errors", f"""WITH {_APPLIED_SQL}, e AS (
+  SELECT doc_id, file_path, 0 AS place, CASE WHEN anchor = '' THEN 'Edit 1 does not say what to look for.'
+    WHEN places = 0 THEN concat('Edit 1 fits no place; no lines like `', near, '` were found.')
+    ELSE concat('Edit 1 fits ', places, ' places; more lines around `', near, '` would tell them apart.') END AS error
+  FROM (SELECT *, left(regexp_extract(regexp_replace(anchor, '^\\s+', ''), '^[^\\n]*'), 80) AS near,
+          concat('docs/D', doc_id, '.txt') AS file_path FROM counted) WHERE places <> 1
+  UNION ALL SELECT doc_id, concat('docs/D', doc_id, '.txt'), CASE WHEN places = 1 THEN 0 ELSE 1 END,
+    'Edit 2 fits no place; no lines like `no such text anywhere §` were found.' FROM counted WHERE doc_id % 5 = 0
+  UNION ALL SELECT doc_id, 'other/x.py', 0, 'The reply edits `other/x.py`, which is not part of this change.' FROM d WHERE doc_id % 7 = 0 AND doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, NULL, 0, 'The reply has no edit block.' FROM documents WHERE doc_id % 13 = 0)
+SELECT CAST(doc_id AS VARCHAR) AS patch_id, file_path, place, left(error, 25) AS error, length(error) > 25 AS long FROM e""")
+def patch_errors(spark, sf_dir):
+    """Every error of every reply; of the sentences the first words, since anchors are trimmed by another engine's blanks in SQL."""
+    applied, unknown = _applied(spark, sf_dir)
+    found = patches.patch_errors(contents(spark, sf_dir), cut(applied), unknown)
+    return found.select("patch_id", "file_path", "place", F.left("error", F.lit(25)).alias("error"), (F.length("error") > 25).alias("long"))
+
+
+@query("patch_diffs", f"""WITH {_APPLIED_SQL} SELECT CAST(doc_id AS VARCHAR) AS patch_id, 0 AS part, file_path AS files,
+  concat('--- a/', file_path, chr(10), '+++ b/', file_path, chr(10), '@@ -') AS head FROM applied WHERE edits_applied > 0""")
+def patch_diffs(spark, sf_dir):
+    applied, _ = _applied(spark, sf_dir)
+    found = patches.patch_diffs(cut(applied))
+    head = F.concat(F.substring_index("unified_diff", "@@ -", 1), F.lit("@@ -"))
+    return found.select("patch_id", "part", F.array_join("files", ",").alias("files"), head.alias("head"))
+
+
 @query("diff_stats", f"""WITH {_APPLIED_SQL} SELECT CAST(doc_id AS VARCHAR) AS patch_id, CAST(CASE WHEN edits_applied > 0 THEN 1 ELSE 0 END AS BIGINT) AS additions,
   CAST(CASE WHEN edits_applied > 0 THEN 1 ELSE 0 END AS BIGINT) AS deletions FROM applied""")
 def diff_stats(spark, sf_dir):

@@ -41,9 +41,10 @@ MEMORY = (
     "validation_summary string, validated_at timestamp"
 )
 
+# What the task of one file reports; problems are codes with figures, their sentences are made later.
 APPLIED = (
-    "patch_id string, file_path string, new_content string, unified_diff string, "
-    "edits_applied int, edits_total int, errors array<string>, ok boolean, first_seq int"
+    "patch_id string, file_path string, new_content string, unified_diff string, edits_applied int, edits_total int, "
+    "problems array<struct<code:string,edit:int,figure:int,total:int,near:string>>, ok boolean, first_seq int"
 )
 
 EVENTS = (
