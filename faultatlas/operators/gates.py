@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.functions import text
+from faultatlas.operators.impact import impact_members, impact_paths
 from faultatlas.operators.python_source import parse_errors
-from faultatlas.plans.layout import numbered_parts, rank_within, top_per
+from faultatlas.plans.layout import cut, numbered_parts, rank_within, top_per
+from faultatlas.sources.reports import read_compiler_log
 
 # Files that configure a test runner, and folders of foreign code.
 TEST_CONFIG_FILES = ["pytest.ini", "tox.ini", "setup.cfg", "pyproject.toml"]
@@ -84,18 +86,44 @@ def test_targets(changed: DataFrame, matched: DataFrame, batch_size: int = 1000)
     )
 
 
-def gate_syntax(changed: DataFrame, patched: DataFrame) -> DataFrame:
-    """H4: gate 1 per patch: every changed file exists and its Python parses.
+def regression_targets(changed: DataFrame, deps: DataFrame, files: DataFrame, hops: int = 2, batch_size: int = 1000) -> DataFrame:
+    """H6: the test files to run per patch when the full suite is too expensive.
 
-    ``changed`` is (patch_id, path), ``patched`` (patch_id, path, content).
+    Those of the changed files and of all production files that the change reaches
+    within ``hops``: ``patch_id, batch, kind, target`` as in ``test_targets``, without
+    name expressions.  A patch without such tests has one row of kind ``none``.
+    """
+    seeds = cut(changed.select("repo_key", "patch_id", text.posix(F.col("path")).alias("path")).distinct())
+    reached = impact_members(impact_paths(deps, seeds.select("repo_key", F.col("path").alias("file")), hops))
+    affected = reached.where(~F.col("is_test")).select("repo_key", F.col("root").alias("path"), "node")
+    near = seeds.join(affected, ["repo_key", "path"]).select("repo_key", "patch_id", F.col("node").alias("path"))
+    tests = match_test_files(seeds.unionByName(near).distinct(), files)
+    targets = test_targets(seeds, tests, batch_size)
+    by_file = F.col("kind") == "files"
+    return targets.select(
+        "patch_id",
+        "batch",
+        F.when(by_file, "files").otherwise("none").alias("kind"),
+        F.when(by_file, F.col("target")).alias("target"),
+    ).where(by_file | (F.col("batch") == 0))
+
+
+def gate_syntax(changed: DataFrame, patched: DataFrame, compiled: DataFrame | None = None) -> DataFrame:
+    """H4: gate 1 per patch: every changed file exists, its Python parses and its C compiles.
+
+    ``changed`` is (patch_id, path), ``patched`` (patch_id, path, content).  ``compiled``
+    is (patch_id, path, log), the compiler's words on changed C and C++ files where one
+    was run; an error inside the file itself fails it.
     """
     present = patched.select("patch_id", "path").distinct().withColumn("_present", F.lit(True))
     sources = patched.where(F.col("path").endswith(".py")).select(
         F.col("patch_id").alias("repo_key"), "path", F.lit("python").alias("language"), "content"
     )
-    broken = parse_errors(sources).select(
-        F.col("repo_key").alias("patch_id"), F.col("file").alias("path"), F.lit(True).alias("_broken")
-    ).distinct()
+    broken = parse_errors(sources).select(F.col("repo_key").alias("patch_id"), F.col("file").alias("path"))
+    if compiled is not None:
+        found = read_compiler_log(compiled.select(F.col("patch_id").alias("repo_key"), "path", "log"), per_file=1)
+        broken = broken.unionByName(found.select(F.col("repo_key").alias("patch_id"), F.col("file_path").alias("path")))
+    broken = broken.distinct().withColumn("_broken", F.lit(True))
     joined = (
         changed.select("patch_id", "path").distinct()
         .join(present, ["patch_id", "path"], "left")

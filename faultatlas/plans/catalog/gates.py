@@ -12,6 +12,7 @@ from faultatlas.plans.catalog import sql, views
 from faultatlas.plans.catalog.findings import blast_of_findings, deduped
 from faultatlas.plans.catalog.graph import _ANALYSIS
 from faultatlas.plans.catalog.registry import query, table
+from faultatlas.plans.catalog.sources import compiler_logs
 from faultatlas.plans.layout import checkpoint_folder, cut
 from faultatlas.sources import tables
 
@@ -86,6 +87,28 @@ def syntax_gates(spark, sf_dir):
     return gates.gate_syntax(names, patched)
 
 
+@query("compiled_gates", """SELECT CAST(p_partkey AS VARCHAR) AS patch_id, p_partkey % 31 <> 0
+    AND NOT EXISTS (SELECT 1 FROM generate_series(1, 9) g(i) WHERE i <= p_size % 10 AND i % 4 <> 0 AND i % 5 <> 0) AS gate_1_ast_valid FROM part""")
+def compiled_gates(spark, sf_dir):
+    """One patch per C file, with its compiler run; some patched files are missing."""
+    logs = compiler_logs(spark, sf_dir).select(F.regexp_extract("path", "p([0-9]+)[.]c$", 1).alias("patch_id"), "path", "log")
+    patched = logs.where(F.col("patch_id").cast("long") % 31 != 0).select("patch_id", "path", F.lit("int x;\n").alias("content"))
+    return gates.gate_syntax(logs, patched, logs)
+
+
+@query("regression_targets", f"""WITH {sql.impact(2, "changed")},
+near AS (SELECT file AS patch_id, file AS path FROM changed UNION SELECT root, node FROM members WHERE NOT is_test),
+tests AS (SELECT DISTINCT n.patch_id, concat('tests/unit/test_', {sql.stem('k')}, '.py') AS test_file FROM near n JOIN files f ON f.path = n.path WHERE k % 10 <> 0 AND k % 8 = 4),
+parts AS (SELECT patch_id, test_file, CAST((row_number() OVER (PARTITION BY patch_id ORDER BY test_file) - 1) // 50 AS INTEGER) AS batch FROM tests),
+listed AS (SELECT patch_id, batch, string_agg(test_file, ' ' ORDER BY test_file) AS target FROM parts GROUP BY patch_id, batch)
+SELECT c.file AS patch_id, coalesce(batch, 0) AS batch, CASE WHEN target IS NULL THEN 'none' ELSE 'files' END AS kind, target
+FROM changed c LEFT JOIN listed l ON l.patch_id = c.file""")
+def regression_targets(spark, sf_dir):
+    """The tests near the change of every file asked about, fifty to a batch."""
+    asked = views.changed_files(spark, sf_dir).select("repo_key", F.col("file").alias("patch_id"), F.col("file").alias("path"))
+    return gates.regression_targets(asked, cut(views.file_deps(spark, sf_dir)), _test_files(spark, sf_dir), batch_size=50)
+
+
 # -------------------------------------------------------------------- gates
 
 def attempts(spark, sf_dir):
@@ -175,6 +198,27 @@ def gate_results(spark, sf_dir):
     )
 
 
+@query("focused_gates", f"""WITH {_GATES_SQL},
+f1 AS (SELECT *, has_tests AND NOT (g1 AND runner AND supp % 4 = 2) AS available FROM g2),
+f2 AS (SELECT *, g1 AND available AND tests_ok AND scanner_ok AS gate_2 FROM f1),
+f3 AS (SELECT *, CASE WHEN g1 AND available AND gate_2 THEN supp % 3 = 0 OR supp % 6 <> 2 ELSE g1 END AS gate_3 FROM f2)
+SELECT CAST(k AS VARCHAR) AS patch_id, CAST(attempt AS BIGINT) AS attempt, available AS tests_available, gate_2 AS gate_2_tests_passed, gate_3 AS gate_3_no_regressions,
+  false AS full_suite_run, CASE WHEN available THEN g1 AND gate_2 AND gate_3 ELSE g1 AND scanner_ok END AS passed FROM f3""")
+def focused_gates(spark, sf_dir):
+    """The gates with the tests near the change in place of the full suite; some attempts have none."""
+    tried = cut(attempts(spark, sf_dir))
+    affected = tried.where("supp % 3 <> 0").select(
+        "patch_id", "attempt", F.lit("affected").alias("scope"), F.when(F.col("supp") % 6 == 2, 1).otherwise(0).alias("exit_code"), F.lit(False).alias("timed_out")
+    )
+    ran = runs(spark, sf_dir).unionByName(affected)
+    second = gates.gate_tests(tried, ran, scans(spark, sf_dir), run_full_suite=False)
+    third = gates.gate_regressions(second, ran, run_full_suite=False).withColumn("passed", gates.validation_passed())
+    return third.select(
+        "patch_id", F.col("attempt").cast("bigint").alias("attempt"), "tests_available", "gate_2_tests_passed",
+        "gate_3_no_regressions", "full_suite_run", "passed",
+    )
+
+
 @query("new_security_findings", f"WITH {_GATES_SQL} SELECT CAST(k AS VARCHAR) AS patch_id, CAST(attempt AS BIGINT) AS attempt, path, check_id, message, copies FROM new_rows")
 def new_security_findings(spark, sf_dir):
     return gates.new_security_findings(scans(spark, sf_dir)).withColumn("attempt", F.col("attempt").cast("bigint"))

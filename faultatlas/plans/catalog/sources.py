@@ -216,12 +216,8 @@ def safety_findings(spark, sf_dir):
     return reports.read_safety_report(documents).select(*_COMMON)
 
 
-@query("compiler_findings", """WITH e AS (
-  SELECT p_partkey, i, CASE WHEN i % 2 = 0 THEN i END AS col FROM part, generate_series(1, 9) g(i) WHERE i <= p_size % 10 AND i % 4 <> 0 AND i % 5 <> 0)
-SELECT concat('src/p', p_partkey, '.c') AS file_path, CAST(i * 3 AS BIGINT) AS line_number, concat('C/C++ syntax error: expected ''', i, '''') AS title,
-  concat('`src/p', p_partkey, '.c` fails to compile (line ', i * 3, '): expected ''', i, '''') AS description, 'repo_mapper:compiler' AS tool_source
-FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS rn FROM e) WHERE rn <= 3""")
-def compiler_findings(spark, sf_dir):
+def compiler_logs(spark, sf_dir):
+    """A compiler run per part, with errors of its own file, of others and of missing headers."""
     key = F.col("p_partkey").cast("string")
 
     def line(i: Column) -> Column:
@@ -234,10 +230,18 @@ def compiler_findings(spark, sf_dir):
         return F.concat(name, F.lit(":"), (i * 3).cast("string"), F.lit(":"), column, label, message, F.lit("\n   note: here\n"))
 
     numbers = F.filter(F.sequence(F.lit(1), F.lit(9)), lambda i: i <= F.col("p_size") % 10)
-    logs = table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part").select(
         _repo(), F.concat(F.lit("src/p"), key, F.lit(".c")).alias("path"), F.array_join(F.transform(numbers, line), "").alias("log")
     )
-    found = reports.read_compiler_log(logs)
+
+
+@query("compiler_findings", """WITH e AS (
+  SELECT p_partkey, i, CASE WHEN i % 2 = 0 THEN i END AS col FROM part, generate_series(1, 9) g(i) WHERE i <= p_size % 10 AND i % 4 <> 0 AND i % 5 <> 0)
+SELECT concat('src/p', p_partkey, '.c') AS file_path, CAST(i * 3 AS BIGINT) AS line_number, concat('C/C++ syntax error: expected ''', i, '''') AS title,
+  concat('`src/p', p_partkey, '.c` fails to compile (line ', i * 3, '): expected ''', i, '''') AS description, 'repo_mapper:compiler' AS tool_source
+FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS rn FROM e) WHERE rn <= 3""")
+def compiler_findings(spark, sf_dir):
+    found = reports.read_compiler_log(compiler_logs(spark, sf_dir))
     return found.select("file_path", F.col("line_number").cast("bigint").alias("line_number"), "title", "description", "tool_source")
 
 

@@ -298,6 +298,30 @@ def test_syntax_gate(spark):
     assert got == {"p": True, "q": False, "s": False}
 
 
+def test_a_file_that_does_not_compile_fails_its_patch(spark):
+    changed = spark.createDataFrame([("p", "a.c"), ("p", "b.h"), ("q", "c.cpp"), ("r", "a.c"), ("s", "d.c")], "patch_id string, path string")
+    patched = changed.withColumn("content", F.lit("int x"))
+    logs = [("p", "a.c", "/t/a.c:1:2: error: expected ';'\n"), ("q", "c.cpp", "/t/c.cpp:1: warning: unused\n/usr/x.h:3: error: bad\n"),
+            ("r", "a.c", "/t/a.c:1: fatal error: q.h: No such file or directory\n"), ("s", "d.c", "")]
+    compiled = spark.createDataFrame(logs, "patch_id string, path string, log string")
+    got = {r.patch_id: r.gate_1_ast_valid for r in gates.gate_syntax(changed, patched, compiled).collect()}
+    assert got == {"p": False, "q": True, "r": True, "s": True}
+
+
+def test_regression_targets_reach_what_depends_on_the_change(spark):
+    deps = spark.createDataFrame(
+        [("r", "mid.py", "base.py", "CALLS"), ("r", "top.py", "mid.py", "IMPORTS"), ("r", "far.py", "top.py", "IMPORTS"), ("q", "mid.py", "base.py", "CALLS")],
+        "repo_key string, consumer string, dependency string, evidence string",
+    )
+    files = spark.createDataFrame([("r", f"t/test_{n}.py") for n in ("base", "top", "far")] + [("q", "t/test_mid.py")], "repo_key string, path string")
+    changed = spark.createDataFrame([("r", "p1", "base.py"), ("r", "p2", "mid.py"), ("r", "p3", "far.py"), ("r", "p4", "lone.py")], "repo_key string, patch_id string, path string")
+    got = {r.patch_id: (r.kind, r.target) for r in gates.regression_targets(changed, deps, files).collect()}
+    assert got == {
+        "p1": ("files", "t/test_base.py t/test_top.py"), "p2": ("files", "t/test_far.py t/test_top.py"),
+        "p3": ("files", "t/test_far.py"), "p4": ("none", None),
+    }
+
+
 def test_attempt_selection(spark):
     rows = [("a", 0, True, False, True), ("a", 1, True, True, True), ("a", 2, True, True, True), ("b", 0, True, True, False), ("b", 1, False, True, True), ("b", 3, True, True, True)]
     df = spark.createDataFrame(rows, "patch_id string, attempt int, patch_ok boolean, passed boolean, gate_4_security_clean boolean")
