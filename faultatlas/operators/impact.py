@@ -15,6 +15,8 @@ from faultatlas.operators.reach import first_reached
 from faultatlas.plans.layout import bounded_list, cut, top_per
 
 _STRONG = ("CALLS", "TESTS")
+# Lines per block in which spans and places meet: about the length of a function.
+LINE_BLOCK = 32
 
 
 def impact_paths(deps: DataFrame, seeds: DataFrame | None = None, hops: int = 3) -> DataFrame:
@@ -244,6 +246,30 @@ def context_summary(files: DataFrame, symbols: DataFrame, deps: DataFrame, hops:
     )
 
 
+def _by_block(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """A row per block of ``LINE_BLOCK`` lines that a range of lines touches."""
+    return df.withColumn("block", F.explode(F.sequence(F.floor(first / LINE_BLOCK), F.floor(last / LINE_BLOCK))))
+
+
+def flow_entries(places: DataFrame, functions: DataFrame) -> DataFrame:
+    """The functions whose span holds a place, (repo_key, file, line, symbol_id).
+
+    Spans and lines meet by block of lines, so a file with many functions and many
+    places is many small groups, and a line meets only the functions near it.  Places
+    without a line, and those that no span holds, enter at all functions of the file.
+    """
+    key = ["repo_key", "file", "line"]
+    spans = functions.where(F.col("line_start") <= F.col("line_end"))
+    spans = _by_block(spans, F.col("line_start"), F.col("line_end"))
+    at = places.where(F.col("line").isNotNull()).withColumn("block", F.floor(F.col("line") / LINE_BLOCK))
+    inside = at.join(spans, ["repo_key", "file", "block"]).where(F.col("line").between(F.col("line_start"), F.col("line_end")))
+    hit = cut(inside.select(*key, "symbol_id").distinct())
+    # Null lines are equal to no hit, so they stay here.
+    missed = places.join(hit.select(*key).distinct(), key, "left_anti")
+    everywhere = missed.join(functions.select("repo_key", "file", "symbol_id"), ["repo_key", "file"]).select(*key, "symbol_id")
+    return hit.unionByName(everywhere.distinct())
+
+
 def trace_data_flow(
     requests: DataFrame, symbols: DataFrame, edges: DataFrame, deps: DataFrame
 ) -> DataFrame:
@@ -251,22 +277,13 @@ def trace_data_flow(
 
     ``requests`` is (repo_key, file, line).  Functions whose span holds the line
     are the entries; all functions of the file when none does or the line is null.
-    Distinct places are few per file, so the range condition never meets more than
-    lines x functions of one file.
     """
     places = cut(requests.select("repo_key", "file", "line").distinct())
     functions = symbols.where(F.col("kind") == "Function").select(
         "repo_key", "file", "symbol_id", "line_start", "line_end"
     )
-    here = F.col("line").isNull() | F.col("line").between(F.col("line_start"), F.col("line_end"))
-    inside = places.join(functions, ["repo_key", "file"]).where(here).drop("line_start", "line_end")
-    missed = places.where(F.col("line").isNotNull()).join(
-        inside.where(F.col("line").isNotNull()).select("repo_key", "file", "line").distinct(),
-        ["repo_key", "file", "line"],
-        "left_anti",
-    )
-    fallback = missed.join(functions.drop("line_start", "line_end"), ["repo_key", "file"])
-    entries = cut(inside.unionByName(fallback).distinct())
+    entries = cut(flow_entries(places, functions))
+    deps = cut(deps)
 
     key = ["repo_key", "file", "line"]
 

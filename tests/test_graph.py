@@ -322,3 +322,19 @@ def test_first_tests_and_related_files_equal_the_whole_impact(spark):
             order = sorted(b for a, b in pairs if a == root) + sorted(m.node for m in own if m.depth == 1 and not m.is_test)
             order += sorted(m.node for m in own if m.is_test) + [m.node for m in sorted(own, key=lambda m: (m.depth, m.path)) if not m.is_test and m.depth > 1]
             assert related.get(root, {}) == dict(enumerate(list(dict.fromkeys(order))[:6], 1))
+
+
+def test_places_meet_spans_by_block(spark):
+    """Nested, long, empty and backward spans; lines on the edges of blocks; null lines."""
+    rng = random.Random(8)
+    spans = [("r", f"f{i % 3}.py", f"s{i}", a := rng.randint(1, 400), a + rng.choice([-3, 0, 1, 31, 32, 33, 200])) for i in range(120)]
+    places = [("r", f"f{i % 4}.py", rng.choice([None, 0, 31, 32, 33, 64, 500, *range(1, 60)])) for i in range(200)] + [("q", "f0.py", 5)]
+    functions = spark.createDataFrame(spans, "repo_key string, file string, symbol_id string, line_start int, line_end int")
+    asked = spark.createDataFrame(places, "repo_key string, file string, line int").distinct()
+    want = set()
+    for repo, file, line in set(places):
+        own = [s for s in spans if s[:2] == (repo, file)]
+        near = [s for s in own if line is not None and s[3] <= line <= s[4]]
+        want |= {(repo, file, line, s[2]) for s in near or own}
+    rows = [tuple(r) for r in impact.flow_entries(asked, functions).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
