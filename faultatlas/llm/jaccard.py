@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultatlas.llm.components import components
-from faultatlas.llm.worker import kept
+from faultatlas.llm.worker import kept, sliced
 from faultatlas.plans.layout import cut
 
 _BUCKET_BITS = 18  # shingle frequencies are counted in so many hashed buckets
@@ -35,7 +35,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """64-bit hashes of the word shingles of texts."""
 
-    def __init__(self, words: int, seed: int = 0, remembered: int = 60_000):
+    def __init__(self, words: int, seed: int = 0, remembered: int = 30_000):
         import xxhash
 
         self.words, self.remembered = words, remembered
@@ -149,7 +149,7 @@ def _scan(bodies: DataFrame, words: int, seed: int) -> DataFrame:
         shingler = worker_shingler(words, seed)
         total = np.zeros(1 << _BUCKET_BITS, np.int64)
         names = ["doc_id", "row", "n", "node", "check", "bins", "bucket", "count"]
-        for batch in batches:
+        for batch in sliced(batches, _TEXTS):
             sizes, nodes, checks, bins = [], [], [], []
             for body in batch["text"]:
                 s = shingler.shingles(body.as_py())
@@ -187,7 +187,7 @@ def _entries(bodies: DataFrame, order: np.ndarray, words: int, percent: int, see
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = worker_shingler(words, seed), set()
-        for batch in batches:
+        for batch in sliced(batches, _TEXTS):
             tokens, nodes, sizes, places = [], [], [], []
             for body in batch["text"]:
                 s = shingler.shingles(body.as_py())
@@ -295,21 +295,19 @@ def _sets(bodies: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFr
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen, bits = worker_shingler(words, seed), set(), np.unpackbits(shared.value)
-        for whole in batches:
-            # Sets are as large as their texts, so a few texts at a time.
-            for begin in range(0, whole.num_rows, _TEXTS):
-                batch, found = whole.slice(begin, _TEXTS), []
-                for number, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                    if not bits[(-1 if number is None else number) % len(bits)]:
-                        continue
-                    s = shingler.shingles(body.as_py())
-                    node, _ = set_keys(s)
-                    if len(s) and node not in seen:
-                        seen.add(node)
-                        found.append((node, s.tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"]
-                )
+        for batch in sliced(batches, _TEXTS):
+            found = []
+            for number, body in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                if not bits[(-1 if number is None else number) % len(bits)]:
+                    continue
+                s = shingler.shingles(body.as_py())
+                node, _ = set_keys(s)
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    found.append((node, s.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["node", "shingles"]
+            )
 
     return bodies.mapInArrow(sets, "node long, shingles binary")
 
@@ -329,7 +327,7 @@ def _verified(bodies: DataFrame, classes: DataFrame, wanted: DataFrame, words: i
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, _TEXTS):
             keep = []
             for x, y in zip(batch["shingles_a"], batch["shingles_b"], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultatlas.llm.worker import forget
+from faultatlas.llm.worker import forget, trim
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -207,6 +207,7 @@ def language_of(model: LanguageModel, text: Column) -> Column:
         scorer = Scorer(shared["model"])
         for one in series:
             yield pd.DataFrame([scorer.score(t) for t in one], columns=["lang_pred", "score", "accepted"])
+        trim()
 
     return score(text)
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.llm.language import hashed_sample, held_out
-from faultatlas.llm.worker import forget
+from faultatlas.llm.worker import forget, trim
 
 PASSAGE_WORDS = 64
 BLOCK_CHARS = 1_000_000
@@ -234,6 +234,7 @@ def quality_of(model: QualityModel, text: Column) -> Column:
         for one in series:
             bags = (encoder.passages(t) for t in one)
             yield pd.Series([known.bag(b)[0] if len(b) else 0.0 for b in bags], dtype=float)
+        trim()
 
     return score(text)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
@@ -37,6 +37,11 @@ def forget() -> None:
         return
     store.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, which allocators otherwise keep for later."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -44,5 +49,14 @@ def forget() -> None:
         pass
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, where what is made of a row is as large as the row; trims behind each of the given ones."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, rows):
+            yield whole.slice(begin, rows)
+        del whole
+        trim()
+
+
 def _store() -> dict:
     return sys.modules.setdefault(_STORE, ModuleType(_STORE)).__dict__.setdefault("kept", {})
