@@ -7,17 +7,19 @@ end of each epoch.  An island is one group of bounded size, so neither a hot sou
 nor the size of the corpus changes what a task holds.
 
 A chromosome is a list of bins.  Crossover injects whole well-filled bins of one
-parent into the other, dissolves the bins that hold one of the injected pieces, and
-puts the displaced pieces back by best fit, longest first.
+parent into the other and dissolves the bins that hold one of the injected pieces.
+Displaced pieces first take the place of one or two shorter ones of a bin that they
+fill better (the shorter ones are displaced instead); what is left is put back by best
+fit, longest first.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -99,10 +101,10 @@ class Packer:
         return self.best_fit(self.best_fit([], order[:half].tolist()), order[half:].tolist())
 
     def cross(self, taker: list[list[int]], giver: list[list[int]], share: float = 0.1) -> list[list[int]]:
-        """Inject whole well-filled bins, dissolve the bins they clash with, best-fit what fell out."""
-        by_fill = sorted(giver, key=self.filled, reverse=True)[: max(1, len(giver) // 2)]
-        chosen = self.random.choice(len(by_fill), max(1, int(len(by_fill) * share)), replace=False)
-        injected = [list(by_fill[k]) for k in chosen]
+        """Inject whole well-filled bins, dissolve the bins they clash with, put back what fell out."""
+        fills = np.array([self.filled(b) for b in giver])
+        full = np.flatnonzero(fills >= np.quantile(fills, 0.5))
+        injected = [list(giver[k]) for k in self.random.choice(full, max(1, int(len(full) * share)), replace=False)]
         placed = {p for b in injected for p in b}
         kept, displaced = injected, []
         for one in taker:
@@ -110,14 +112,50 @@ class Packer:
                 kept.append(list(one))
             else:
                 displaced += [p for p in one if p not in placed]
-        return self.best_fit(kept, displaced)
+        return self.put_back(kept, displaced)
 
     def mutate(self, bins: list[list[int]], n: int = 4) -> list[list[int]]:
         """Dissolve the emptiest bins and a few others."""
         order = sorted(range(len(bins)), key=lambda k: self.filled(bins[k]))
         gone = {*order[:n], *self.random.choice(len(bins), min(n, len(bins)), replace=False).tolist()}
         kept = [list(b) for k, b in enumerate(bins) if k not in gone]
-        return self.best_fit(kept, [p for k in gone for p in bins[k]])
+        return self.put_back(kept, [p for k in gone for p in bins[k]])
+
+    def put_back(self, bins: list[list[int]], displaced: list[int]) -> list[list[int]]:
+        """Displaced pieces by exchange, the rest by best fit."""
+        return self.best_fit(bins, self.exchange(bins, displaced))
+
+    def exchange(self, bins: list[list[int]], displaced: list[int], pairs_of: int = 64) -> list[int]:
+        """Replace one or two pieces of a bin by one or two displaced ones that fill it better; returns what is displaced then.
+
+        A bin takes what fills it most.  Every exchange makes a bin fuller and the
+        displaced pieces shorter.  Pairs are formed of up to ``pairs_of`` displaced
+        pieces and of bins with up to 16; the others are exchanged one by one.
+        """
+        displaced, sums, sets = list(displaced), None, []
+        for k in self.random.permutation(len(bins)):
+            one = bins[k]
+            room = self.capacity - self.filled(one)
+            if not room or not displaced:
+                continue
+            if sums is None:
+                sets = [(p,) for p in displaced] + list(itertools.combinations(displaced[:pairs_of], 2))
+                sums = np.array([sum(self.lengths[p] for p in x) for x in sets])
+                order = np.argsort(sums, kind="stable")
+                sums, sets = sums[order], [sets[i] for i in order]
+            out = [(p,) for p in one] + (list(itertools.combinations(one, 2)) if len(one) <= 16 else [])
+            sizes = np.array([sum(self.lengths[p] for p in x) for x in out])
+            at = np.searchsorted(sums, sizes + room, "right") - 1
+            gain = np.where(at >= 0, sums[at], 0) - sizes
+            best = int(gain.argmax())
+            if gain[best] <= 0:
+                continue
+            taken, left = sets[at[best]], out[best]
+            bins[k] = [p for p in one if p not in left] + list(taken)
+            displaced = [p for p in displaced if p not in taken] + list(left)
+            self.random.shuffle(displaced)
+            sums = None
+        return displaced
 
     def evolve(self, start: list[list[list[int]]], population: int, generations: int) -> list[list[int]]:
         """Best packing after a number of generations; stops at the bound by total length."""
@@ -168,35 +206,48 @@ def pack(
     shards = max(1, -(-short.count() // shard_pieces))
     short = short.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(shards)).cast("int"))
 
-    def first_epoch(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def first_epoch(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         forget()
-        rows = rows.sort_values("row")
+        shard, island = (x.as_py() for x in key)
+        rows = rows.sort_by("row")
         lengths = rows["length"].to_numpy()
-        best = Packer(lengths, capacity, seed + 1000 * key[0] + key[1]).evolve([], population, generations)
-        return elite(key, rows["row"].to_numpy(), lengths, best)
+        best = Packer(lengths, capacity, seed + 1000 * shard + island).evolve([], population, generations)
+        return elite(shard, island, rows["row"].to_numpy(), lengths, best)
 
-    def elite(key: tuple, row: np.ndarray, lengths: np.ndarray, best: list[list[int]]) -> pd.DataFrame:
+    def elite(shard: int, island: int, row: np.ndarray, lengths: np.ndarray, best: list[list[int]]) -> pa.Table:
         number, place = _flat(best, len(row))
-        fill = sum((lengths[b].sum() / capacity) ** 2 for b in best)
-        one = {"shard": key[0], "island": key[1], "row": row.astype("<i8").tobytes(), "lengths": lengths.astype("<i4").tobytes()}
-        return pd.DataFrame([one | {"number": number.tobytes(), "place": place.tobytes(), "n_bins": len(best), "fill": fill}])
-
-    def next_epoch(key: tuple, elites: pd.DataFrame) -> pd.DataFrame:
+        fill = sum((int(lengths[b].sum()) / capacity) ** 2 for b in best)
+        return pa.table(
+            {
+                "shard": pa.array([shard], pa.int32()),
+                "island": pa.array([island], pa.int32()),
+                "row": pa.array([row.astype("<i8").tobytes()], pa.binary()),
+                "lengths": pa.array([lengths.astype("<i4").tobytes()], pa.binary()),
+                "number": pa.array([number.tobytes()], pa.binary()),
+                "place": pa.array([place.tobytes()], pa.binary()),
+                "n_bins": pa.array([len(best)], pa.int64()),
+                "fill": pa.array([fill], pa.float64()),
+            }
+        )
+
+    def next_epoch(key: tuple[pa.Scalar, ...], elites: pa.Table) -> pa.Table:
         """An island goes on from its own best packing and its neighbour's."""
-        elites = elites.sort_values(["n_bins", "fill", "home"], ascending=[True, False, True])
-        row, lengths = (np.frombuffer(elites[c].iloc[0], t) for c, t in (("row", "<i8"), ("lengths", "<i4")))
-        packer = Packer(lengths, capacity, seed + 1000 * key[0] + 31 * key[1] + 17)
-        return elite(key, row, lengths, packer.evolve([_bins(x) for x in elites["number"]], population, generations))
+        shard, island = (x.as_py() for x in key)
+        elites = elites.sort_by([("n_bins", "ascending"), ("fill", "descending"), ("home", "ascending")]).to_pylist()
+        row, lengths = (np.frombuffer(elites[0][c], t) for c, t in (("row", "<i8"), ("lengths", "<i4")))
+        packer = Packer(lengths, capacity, seed + 1000 * shard + 31 * island + 17)
+        best = packer.evolve([_bins(x["number"]) for x in elites], population, generations)
+        return elite(shard, island, row, lengths, best)
 
     schema = "shard int, island int, row binary, lengths binary, number binary, place binary, n_bins long, fill double"
     copies = short.select("shard", "row", "length", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    best = copies.groupBy("shard", "island").applyInPandas(first_epoch, schema)
+    best = copies.groupBy("shard", "island").applyInArrow(first_epoch, schema)
     for _ in range(epochs - 1):
         # Elite migration: a packing goes to its own island and to the next one.
         home = F.col("island").alias("home")
         sent = best.select("*", home, F.explode(F.array_distinct(F.array("island", (home + 1) % islands))).alias("to"))
         arrived = sent.drop("island").withColumnRenamed("to", "island")
-        best = arrived.groupBy("shard", "island").applyInPandas(next_epoch, schema)
+        best = arrived.groupBy("shard", "island").applyInArrow(next_epoch, schema)
     order = Window.partitionBy("shard").orderBy("n_bins", F.desc("fill"), "island")
     winners = best.withColumn("rank", F.row_number().over(order)).where("rank = 1")
 

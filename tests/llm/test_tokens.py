@@ -120,6 +120,34 @@ def test_crossover_injects_whole_bins_and_loses_nothing():
     assert packer.fitness(best) >= packer.fitness(a)
 
 
+def test_search_needs_fewer_bins_than_best_fit():
+    random = np.random.default_rng(0)
+    triplets = []
+    for _ in range(150):  # three pieces that fill a bin
+        x, y = int(random.integers(600, 800)), int(random.integers(600, 740))
+        triplets += [x, y, 2048 - x - y]
+    for lengths in (np.array(triplets), random.integers(300, 1101, 1000)):
+        packer = packing.Packer(lengths, 2048, 5)
+        best_fit = packer.best_fit([], list(range(len(lengths))))
+        best = packer.evolve([], 6, 12)
+        assert sorted(p for one in best for p in one) == list(range(len(lengths)))
+        assert all(packer.filled(one) <= 2048 for one in best)
+        least = -(-int(lengths.sum()) // 2048)
+        # At least half of what best fit needs above the bound is saved.
+        assert len(best) - least <= (len(best_fit) - least) / 2
+
+
+def test_exchange_fills_bins_and_loses_nothing():
+    random = np.random.default_rng(2)
+    packer = packing.Packer(random.integers(1, 60, 120), 100, 5)
+    bins = packer.best_fit([], list(range(100)))
+    before = {k: packer.filled(one) for k, one in enumerate(bins)}
+    left = packer.exchange(bins, list(range(100, 120)))
+    assert sorted([p for one in bins for p in one] + left) == list(range(120))
+    assert all(before[k] <= packer.filled(one) <= 100 for k, one in enumerate(bins))
+    assert packer.exchange([], [1, 2]) == [1, 2]
+
+
 def test_sampled_pieces_decode_to_their_text(spark):
     rows = helpers.odd_rows()
     docs = helpers.frame(spark, rows)
