@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,21 +200,24 @@ def fit(
     drawn = hashed_sample(marked, F.col("doc_id"), marked.count(), sample, seed)
     chosen = drawn.orderBy("place", "doc_id").limit(sample).drop("place")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
             found = []
             for body in batch["text"]:
-                rows = encoder.passages(body)
+                rows = encoder.passages(body.as_py())
                 if len(rows) > bag_passages:
                     rows = rows[np.linspace(0, len(rows) - 1, bag_passages).astype(int)]
                 found.append(rows.tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "truth": batch["truth"], "bag": found})
+            columns = [batch["doc_id"], batch["truth"], pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "truth", "bag"])
 
     bodies = docs.select(key.alias("doc_id"), F.col(text).alias("text"))
     # The sample has a fixed number of rows, so it can be sent to every task.
-    joined = bodies.join(F.broadcast(chosen), "doc_id")
-    rows = joined.mapInPandas(encode, "doc_id long, truth double, bag binary").collect()
+    joined = bodies.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("truth").cast("double"), "text")
+    encoded = joined.mapInArrow(encode, "doc_id long, truth double, bag binary")
+    # One bag per id, so what is collected is bounded also where a sampled id repeats.
+    rows = encoded.groupBy("doc_id").agg(F.min("truth").alias("truth"), F.min("bag").alias("bag")).collect()
     rows = sorted((r["doc_id"], r["truth"], r["bag"]) for r in rows if r["bag"])
     bags = [np.frombuffer(bytes(b), np.float32).reshape(-1, FEATURES) for _, _, b in rows]
     model = train(bags, np.array([t for _, t, _ in rows]))
@@ -227,13 +230,13 @@ def quality_of(model: QualityModel, text: Column) -> Column:
     """Score of a whole text, 0 to 1; a null text or one without a word has 0."""
     shared = {"model": model}
 
-    @F.pandas_udf("double")
-    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget()
         encoder, known = Encoder(), shared["model"]
-        for one in series:
-            bags = (encoder.passages(t) for t in one)
-            yield pd.Series([known.bag(b)[0] if len(b) else 0.0 for b in bags], dtype=float)
+        for texts in batches:
+            bags = (encoder.passages(t.as_py()) for t in texts)
+            yield pa.array([float(known.bag(b)[0]) if len(b) else 0.0 for b in bags], pa.float64())
         trim()
 
     return score(text)

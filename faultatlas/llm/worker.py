@@ -9,6 +9,7 @@ from collections.abc import Callable, Hashable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _STORE = "faultatlas_worker"
 
@@ -58,5 +59,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         trim()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches of the session have at most ``rows`` rows.
+
+    Where rows are whole texts, Spark's default of 10,000 makes one batch of a whole
+    file split, which the executor and its worker then hold several times over.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
 def _store() -> dict:
     return sys.modules.setdefault(_STORE, ModuleType(_STORE)).__dict__.setdefault("kept", {})
