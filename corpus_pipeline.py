@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultatlas.llm import jaccard, language, packing, private, quality
+from faultatlas.llm.worker import small_batches
 from faultatlas.plans.layout import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,12 +26,14 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the attention classifier accepts."""
+    small_batches(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.quality_of(model, F.col("text")) >= ACCEPTED_QUALITY)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified with enough confidence."""
+    small_batches(spark)
     model = language.fit(docs)
     return docs.where(language.language_of(model, F.col("text"))["accepted"])
 
@@ -41,6 +44,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Documents without a word are in no group and stay.  Of rows that repeat an id and
     a text one stays.
     """
+    small_batches(spark)
     return jaccard.first_of_groups(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
@@ -54,6 +58,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document, placed in sequences of at most 2048 ids."""
+    small_batches(spark)
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
