@@ -374,6 +374,31 @@ def test_versions_and_graph_round_trip(spark):
     assert [r.node_id for r in own_nodes.collect()] == ["n"] and own_edges.count() == 0
 
 
+def test_graph_files_follow_the_rows(spark):
+    folder = f"{checkpoint_folder(spark)}/sizes-{random.getrandbits(60):x}"
+
+    def written(rows, name):
+        # One repository holds a third of the nodes, the others are small.
+        nodes = [("hot" if k % 3 == 0 else f"r{k % 50:02d}", f"n{k}", "File", "f", {}) for k in range(rows)]
+        edges = spark.createDataFrame([], schemas.EDGES)
+        tables.write_graph(spark.createDataFrame(nodes, schemas.NODES), edges, f"{folder}/{name}", rows_per_file=100)
+        return nodes, tables.graph_parts(spark, f"{folder}/{name}", "nodes").orderBy("part").collect()
+
+    _, few = written(300, "few")
+    nodes, many = written(3000, "many")
+    assert len(few) <= 3 and 25 <= len(many) <= 30
+    assert sum(p.rows for p in many) == 3000 and max(p.rows for p in many) <= 300
+    assert all(a.last_repo <= b.first_repo for a, b in zip(many, many[1:], strict=False))
+    assert sum(p.first_repo == p.last_repo == "hot" for p in many) >= 5
+    for repo in ("hot", "r07", "none"):
+        own, edges = tables.read_graph(spark, f"{folder}/many", repo)
+        assert sorted(r.node_id for r in own.collect()) == sorted(n[1] for n in nodes if n[0] == repo)
+        assert edges.count() == 0
+    assert len(tables.read_graph(spark, f"{folder}/many", "r07")[0].select("node_id", F.input_file_name().alias("f")).select("f").distinct().collect()) <= 3
+    plan = tables.read_graph(spark, f"{folder}/many", "r07")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+
+
 def test_streams_over_several_batches(spark):
     folder = f"{checkpoint_folder(spark)}/stream-{random.getrandbits(60):x}"
     start = dt.datetime(2026, 1, 1)
