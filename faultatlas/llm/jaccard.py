@@ -359,10 +359,12 @@ def first_of_groups(docs: DataFrame, words: int = 4, percent: int = 85, doc_id:
     and text one.  A null text or one without a word is in no group, and all such rows
     stay.  An empty table gives no row.
     """
+    # A name unlike any of the input's.
+    row = "_" * (1 + max((len(c) for c in docs.columns), default=0)) + "row"
     groups = similar_groups(docs, words, percent, doc_id=doc_id, text=text)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least")
-    kept = groups.where("n_shingles > 0").groupBy("component").agg(least).select(F.col("least.row").alias("__row"))
+    kept = groups.where("n_shingles > 0").groupBy("component").agg(least).select(F.col("least.row").alias(row))
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    first = docs.where(worded).withColumn("__row", row_key(doc_id, text)).join(kept, "__row", "left_semi")
-    first = first.dropDuplicates(["__row", doc_id]).drop("__row")
+    first = docs.where(worded).withColumn(row, row_key(doc_id, text)).join(kept, row, "left_semi")
+    first = first.dropDuplicates([row, doc_id]).drop(row)
     return first.unionByName(docs.where(~worded))

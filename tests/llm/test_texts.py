@@ -87,6 +87,7 @@ def test_groups_equal_all_pairs(spark, similar_rows):
     for rounds in (0, 2):
         got = jaccard.similar_groups(docs, pivot_rounds=rounds).collect()
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    docs = docs.selectExpr("*", "1 AS __row", "2 AS row")
     kept = jaccard.first_of_groups(docs)
     assert kept.columns == docs.columns
     worded = {group[k] for k in at if sets[k]}
