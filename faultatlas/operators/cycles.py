@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultatlas.operators.graph import circular_dependencies, cycle_findings
+from faultatlas.operators.graph import _open, circular_dependencies, cycle_findings
 from faultatlas.plans.layout import cut, top_per
 
 _FILE = ["repo_key", "file"]
@@ -126,10 +126,15 @@ def dependency_cycles(deps: DataFrame, limit: int = 10, longest: int = 64) -> Da
     """The first ``limit`` cycles per repository, shortest first: ``repo_key, position, cycle, length``.
 
     All cycles of up to four files, and of components without a shorter one the
-    shortest cycle through their smallest file.
+    shortest cycle through their smallest file.  Those are behind all short ones, so a
+    repository with ``limit`` short cycles is not searched for them.
     """
     deps = cut(deps.select("repo_key", "consumer", "dependency").distinct())
     short = cut(circular_dependencies(deps, 4, limit))
+    deps = _open(deps.where("repo_key is not null"), short, limit)
+    if not deps.limit(1).count():
+        return short
+    deps = cut(deps)
     members = cut(cycle_components(deps))
     # A component with a short cycle has at least that; the search is for the others.
     with_short = short.select("repo_key", F.explode("cycle").alias("file")).distinct().join(members, _FILE)

@@ -100,3 +100,19 @@ def test_witnesses_are_shortest_through_the_first_file(spark):
         inside.setdefault(r.component, set()).add(r.file)
     got = {r.component: r.cycle for r in cycles.witness_cycles(deps, members).collect()}
     assert inside and got == {c: shortest_through(pairs, files, c) for c, files in inside.items()}
+
+
+def test_repositories_with_enough_short_cycles_are_not_searched_further(spark, monkeypatch):
+    rings = [(f"a{i:02}", f"b{i:02}") for i in range(12)]
+    pairs = [("r", a, b) for a, b in rings] + [("r", b, a) for a, b in rings] + [(None, "x", "y"), (None, "y", "x")]
+    pairs += [("r", x, y) for x, y in (("c", "d"), ("d", "e"), ("e", "c"))]
+    deps = spark.createDataFrame(pairs, DEPS)
+
+    def never(*_):
+        raise AssertionError("searched although the first cycles are known")
+
+    for name in ("_cycles_of_three", "_cycles_of_four"):
+        monkeypatch.setattr("faultatlas.operators.graph." + name, never)
+    monkeypatch.setattr(cycles, "cycle_components", never)
+    got = {r.position: (r.repo_key, r.cycle) for r in cycles.dependency_cycles(deps).collect()}
+    assert got == {i + 1: ("r", list(rings[i])) for i in range(10)}
