@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
@@ -338,3 +339,34 @@ def test_places_meet_spans_by_block(spark):
         want |= {(repo, file, line, s[2]) for s in near or own}
     rows = [tuple(r) for r in impact.flow_entries(asked, functions).collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+def test_facts_of_a_huge_source_come_in_small_batches():
+    content = "".join(f"import m{i}\n" for i in range(9_000))
+    sources = pa.RecordBatch.from_pydict({"repo_key": ["r"] * 3, "path": ["a.py", "b.py", "c.py"], "content": [content, None, "def f(:"]})
+    batches = list(python_source._parse_task(errors_only=False)(iter([sources])))
+    assert max(b.num_rows for b in batches) <= 2_000
+    rows = [row for b in batches for row in b.to_pylist()]
+    assert [r["ord"] for r in rows] == [*range(9_000), 0, 0]
+    assert [r["kind"] for r in rows[-2:]] == ["error", "error"]
+
+
+def test_places_with_several_entries_meet_a_caller_once(corpus, capsys):
+    files = corpus({
+        "a.py": "def f(x):\n    return x\n\ndef g(x):\n    return x\n",
+        "b.py": "from a import f, g\n\ndef h(x):\n    return f(x) + g(x)\n",
+    })
+    built = graph.build_graph(files)
+    requests = files.sparkSession.createDataFrame([("r", "a.py", None), ("r", "a.py", 2), ("r", "a.py", 2), ("r", "b.py", 1)], "repo_key string, file string, line int")
+    flow = impact.trace_data_flow(requests, built.symbols, built.edges, graph.file_dependencies(built.edges))
+    flow.explain()
+    plan = [line for line in capsys.readouterr().out.splitlines() if "- " in line]
+    got = [(r.file, r.line, r.role, r.node_id) for r in flow.collect()]
+    assert sorted(got, key=str) == sorted([
+        ("a.py", None, "entry", "a.py::f"), ("a.py", None, "entry", "a.py::g"), ("a.py", None, "caller", "b.py::h"),
+        ("a.py", None, "file_dependent", "b.py"), ("a.py", 2, "entry", "a.py::f"), ("a.py", 2, "caller", "b.py::h"),
+        ("a.py", 2, "file_dependent", "b.py"), ("b.py", 1, "entry", "b.py::h"), ("b.py", 1, "callee", "a.py::f"),
+        ("b.py", 1, "callee", "a.py::g"), ("b.py", 1, "file_dependency", "a.py"),
+    ], key=str)
+    # The rows of all roles are not dealt out once more to be compared.
+    assert "Union" in plan[0]
