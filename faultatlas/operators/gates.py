@@ -43,24 +43,30 @@ def has_tests(files: DataFrame) -> DataFrame:
 
 
 def match_test_files(changed: DataFrame, files: DataFrame) -> DataFrame:
-    """H2: (patch_id, source, test_file) by name, anywhere but in foreign code."""
-    stem = text.stem(F.col("path"))
+    """H2: (patch_id, source, test_file) by name, anywhere but in foreign code.
+
+    Which tests a file has does not depend on the patch: distinct files look theirs up
+    once, and a patch meets the files that have any.
+    """
+    patched = changed.select("repo_key", "patch_id", F.col("path").alias("source")).distinct()
+    stem = text.stem(F.col("source"))
     wanted = (
-        changed.withColumn("_stem", stem)
+        changed.select("repo_key", F.col("path").alias("source")).distinct()
+        .withColumn("_stem", stem)
         .where(~(F.col("_stem").startswith("test_") | F.col("_stem").endswith("_test")) & (F.col("_stem") != ""))
         .select(
-            "repo_key", "patch_id", F.col("path").alias("source"),
+            "repo_key", "source",
             F.explode(
                 F.array(F.concat(F.lit("test_"), "_stem", F.lit(".py")), F.concat("_stem", F.lit("_test.py")))
             ).alias("_name"),
         )
-        .distinct()
     )
     foreign = F.exists(F.split("path", "/"), lambda p: p.isin(FOREIGN_DIRECTORIES))
     tests = files.where(~foreign & text.basename(F.col("path")).rlike("^test_.*\\.py$|_test\\.py$")).select(
         "repo_key", F.col("path").alias("test_file"), text.basename(F.col("path")).alias("_name")
     )
-    return wanted.join(tests, ["repo_key", "_name"]).drop("_name")
+    found = wanted.join(tests, ["repo_key", "_name"]).drop("_name")
+    return patched.join(found, ["repo_key", "source"]).select("repo_key", "patch_id", "source", "test_file")
 
 
 def test_targets(changed: DataFrame, matched: DataFrame, batch_size: int = 1000) -> DataFrame:
