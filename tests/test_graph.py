@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
+from faultatlas.plans.layout import cut
 from faultatlas.plans.repository_map import file_report, repository_map
 
 SHOP = {
@@ -291,6 +293,21 @@ def test_blast_counts_equal_distinct_members(spark, monkeypatch):
         assert {tuple(r) for r in reach.blast_report(deps, files, edges, hops).collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_sets_move_by_block_and_keep_only_their_words(spark):
+    """No row per dependency and block is moved, and a set far behind in its block is no longer than one in front."""
+    deps, _ = random_deps(spark, 8, 30, 80, ["CALLS"])
+    steps = deps.selectExpr("repo_key", "cast(right(consumer, 6) as string) as n", "dependency").selectExpr(
+        "repo_key", "xxhash64(n) as node", "xxhash64(right(dependency, 6)) as via"
+    )
+    own = cut(steps.selectExpr("repo_key", "node", "pmod(node, 2) as block", "cast(511 as bigint) as place"))
+    sets = reach.spread(own, steps, 3)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert [f.dataType.simpleString() for f in sets.schema.fields[3:]] == ["bigint"] * 8
+    assert {r.w7 for r in sets.collect()} == {-(2**63)} and {r.w0 for r in sets.collect()} == {0}
+    by_node = re.findall(r"hashpartitioning\(repo_key#\d+, node#\d+L?, block#\d+L?", plan)
+    assert len(by_node) == 1  # the marks themselves
+
+
 def test_a_hub_makes_no_pairs(spark):
     """1,500 files use a hub that uses 1,500 others: counts come without 2 million rows."""
     rows = [("r", f"in/m{i:04d}.py", "hub/h.py", "IMPORTS") for i in range(1500)]
