@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from faultatlas.operators import graph, impact, lists
+from faultatlas.operators import graph, impact, lists, reach
 
 DEPS = "repo_key string, consumer string, dependency string, evidence string"
 
@@ -75,3 +76,32 @@ def test_paths_by_arrays(spark, wide):
         found = [r for r in impact.impact_paths(deps, seeds, hops).collect() if r.node is not None]
         assert len(found) == len(want)
         assert {(r.root, r.node): (r.depth, list(r.path), r.evidence) for r in found} == want
+
+
+def test_blast_members_by_arrays(spark, wide):
+    rows = [("r", "a", "b", "CALLS", "a", "Function"), ("r", "a2", "b", "DEFINES", "b", "Function"), ("r", "a", "c", "CALLS", "a", "Function"),
+            ("r", "b", "c", None, "b", "Function"), ("r", "b", "d", None, "b", "DBModel"), ("r", "b", "e", "IMPORTS", "b", "File"),
+            ("r", "b", None, "CALLS", "b", "Function"), ("r", "b", "f", "CALLS", None, "Function"), (None, "b", "g", "CALLS", "b", "Function")]
+    edges = spark.createDataFrame(rows, "repo_key string, src string, dst string, edge_type string, src_file string, dst_type string")
+    files = spark.createDataFrame([("r", f) for f in "abz"] * 2, "repo_key string, path string")
+    members = spark.createDataFrame([("r", "a", "b", False), ("r", "z", "b", True)], "repo_key string, root string, node string, is_test boolean")
+    got = sorted(map(repr, (tuple(r) for r in impact.blast_members(members, files, edges).drop("repo_key").collect())))
+    of_b = [("b", "Function", False), ("c", "Function", None), ("d", "DBModel", None), (None, "Function", True)]
+    of_a = [("b", "Function", False), ("c", "Function", True), ("d", "DBModel", None), (None, "Function", True)]
+    assert got == sorted(map(repr, [("a", *x) for x in of_a] + [("b", *x) for x in of_b]))
+
+
+@pytest.mark.parametrize("slice_size", [512, 2])
+def test_first_reached_by_arrays(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(reach, "_SLICE", slice_size)
+    names, pairs = _pairs(3)
+    users: dict = {}
+    for consumer, dependency in pairs:
+        users.setdefault(dependency, set()).add(consumer)
+    rows = [("r", a, b, "CALLS") for a, b in pairs] * 2 + [("r", None, "n01", "CALLS"), (None, "n02", "n01", "CALLS")]
+    found = reach.first_reached(spark.createDataFrame(rows, DEPS), F.col("consumer") > "n05", 3, 3).where("repo_key = 'r'")
+    want = []
+    for root in names:
+        far = sorted(n for n in _rounds(users, root, 3) if n > "n05")
+        want += [(root, i + 1, n) for i, n in enumerate(far[:3])]
+    assert sorted((r.file, r.position, r.node) for r in found.collect()) == want
