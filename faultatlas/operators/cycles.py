@@ -5,7 +5,8 @@ reaches, along the edges that are left.  Files for which both are the same file
 component.  All others go on: files of one component agree in both labels, so edges
 between files that differ are on no cycle and are dropped.  Labels follow the labels of
 labels, so a ring of ``n`` files takes about ``log n`` rounds, and a round is one
-aggregation by file with partial sums, whatever hubs there are.
+aggregation by file with partial sums, whatever hubs there are.  On the way files are
+numbers in the order of their names, all repositories in one count.
 """
 
 from __future__ import annotations
@@ -16,35 +17,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultatlas.operators.graph import _open, circular_dependencies, cycle_findings
-from faultatlas.plans.layout import cut, top_per
+from faultatlas.plans.layout import cut, rank_within, top_per
 
 _FILE = ["repo_key", "file"]
 
 
 def _on_both_sides(edges: DataFrame) -> DataFrame:
     """Edges that can be on a cycle: their begin is an end of some edge, their end a begin."""
-    ends = edges.select("repo_key", F.col("dst").alias("src")).distinct()
-    begins = edges.select("repo_key", F.col("src").alias("dst")).distinct()
-    return edges.join(ends, ["repo_key", "src"], "left_semi").join(begins, ["repo_key", "dst"], "left_semi")
+    ends = edges.select(F.col("dst").alias("src")).distinct()
+    begins = edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(ends, "src", "left_semi").join(begins, "dst", "left_semi")
 
 
 def _labels(edges: DataFrame) -> DataFrame:
-    """``repo_key, file, before, after``: the smallest files that reach a file and that it reaches, itself included."""
-    key = ["repo_key", "file", "forward"]
+    """``file, before, after``: the smallest files that reach a file and that it reaches, itself included."""
+    key = ["file", "forward"]
     steps = cut(
-        edges.select("repo_key", F.col("src").alias("via"), F.col("dst").alias("file"), F.lit(True).alias("forward")).unionByName(
-            edges.select("repo_key", F.col("dst").alias("via"), F.col("src").alias("file"), F.lit(False).alias("forward"))
+        edges.select(F.col("src").alias("via"), F.col("dst").alias("file"), F.lit(True).alias("forward")).unionByName(
+            edges.select(F.col("dst").alias("via"), F.col("src").alias("file"), F.lit(False).alias("forward"))
         )
     )
     files = steps.select(*key).distinct()
     labels = cut(files.withColumn("label", F.col("file")))
     while True:
-        of_via = labels.select("repo_key", F.col("file").alias("via"), "forward", "label")
-        given = steps.join(of_via, ["repo_key", "via", "forward"]).select(*key, "label")
+        of_via = labels.select(F.col("file").alias("via"), "forward", "label")
+        given = steps.join(of_via, ["via", "forward"]).select(*key, "label")
         # What reaches the file that reaches a file, reaches the file too.
         followed = (
             labels.where("label <> file").select(*key, F.col("label").alias("via"))
-            .join(of_via, ["repo_key", "via", "forward"]).select(*key, "label")
+            .join(of_via, ["via", "forward"]).select(*key, "label")
         )
         own = labels.select(*key, "label", F.col("label").alias("was"))
         found = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [own, given, followed])
@@ -55,7 +56,7 @@ def _labels(edges: DataFrame) -> DataFrame:
         if not labels.where("moved").limit(1).count():
             break
         labels = labels.drop("moved")
-    return labels.groupBy(*_FILE).agg(
+    return labels.groupBy("file").agg(
         F.min(F.when(F.col("forward"), F.col("label"))).alias("before"),
         F.min(F.when(~F.col("forward"), F.col("label"))).alias("after"),
     )
@@ -66,9 +67,15 @@ def cycle_components(deps: DataFrame) -> DataFrame:
 
     ``component`` is the smallest file.  Files on no cycle have no row.
     """
-    left = cut(
-        deps.select("repo_key", F.col("consumer").alias("src"), F.col("dependency").alias("dst")).where("src <> dst").distinct()
-    )
+    named = cut(
+        deps.select("repo_key", F.col("consumer").alias("src"), F.col("dependency").alias("dst"))
+        .where("src <> dst and repo_key is not null").distinct()
+    )
+    names = named.select("repo_key", F.col("src").alias("file")).unionByName(named.select("repo_key", F.col("dst").alias("file")))
+    numbers = cut(rank_within(cut(names.distinct()), [], [F.col("repo_key"), F.col("file")], rank="id"))
+    ends = [numbers.select("repo_key", F.col("file").alias(c), F.col("id").alias(f"{c}_id")) for c in ("src", "dst")]
+    left = named.join(ends[0], ["repo_key", "src"]).join(ends[1], ["repo_key", "dst"])
+    left = cut(left.select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
     found = []
     remaining = left.count()
     while remaining:
@@ -79,17 +86,21 @@ def cycle_components(deps: DataFrame) -> DataFrame:
             left, remaining = trimmed, still
             continue
         labels = cut(_labels(left))
-        done = labels.where("before = after").select("repo_key", F.col("before").alias("component"), "file")
+        done = labels.where("before = after").select(F.col("before").alias("component"), "file")
         found.append(done)
         undone = labels.where("before <> after")
-        ends = [undone.select("repo_key", F.col("file").alias(c), "before", "after") for c in ("src", "dst")]
-        left = cut(left.join(ends[0], ["repo_key", "src"]).join(ends[1], ["repo_key", "dst", "before", "after"]).select("repo_key", "src", "dst"))
+        ends = [undone.select(F.col("file").alias(c), "before", "after") for c in ("src", "dst")]
+        left = cut(left.join(ends[0], "src").join(ends[1], ["dst", "before", "after"]).select("src", "dst"))
         remaining = left.count()
     if not found:
         return deps.select("repo_key", F.col("consumer").alias("component"), F.col("consumer").alias("file")).limit(0)
     members = reduce(DataFrame.unionByName, found)
-    more = members.groupBy("repo_key", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return members.join(more, ["repo_key", "component"], "left_semi").select("repo_key", "component", "file")
+    more = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = members.join(more, "component", "left_semi").withColumnRenamed("file", "id")
+    shown = members.join(numbers, "id").join(
+        numbers.select(F.col("id").alias("component"), F.col("file").alias("_component")), "component"
+    )
+    return shown.select("repo_key", F.col("_component").alias("component"), "file")
 
 
 def witness_cycles(deps: DataFrame, members: DataFrame, longest: int = 64) -> DataFrame:
