@@ -73,7 +73,7 @@ def test_paths_by_arrays(spark, wide):
                 best.update(grown)
                 frontier = list(grown.values())
             want |= {(root, c): (len(p) - 1, list(p), "CALLS") for c, p in best.items()}
-        found = [r for r in impact.impact_paths(deps, seeds, hops).collect() if r.node is not None]
+        found = [r for r in impact.impact_paths(deps, seeds, hops, by_lists=True).collect() if r.node is not None]
         assert len(found) == len(want)
         assert {(r.root, r.node): (r.depth, list(r.path), r.evidence) for r in found} == want
 
