@@ -53,6 +53,21 @@ def test_every_latin_letter_is_spelled_as_by_the_library(path):
     assert tokens.ChunkEncoder(path).ids(whole).tolist() == [*encode(whole), 0]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_line_ends_and_marks_take_no_run_of_the_whole_library(path, monkeypatch):
+    encode, encoder = plain(path), tokens.ChunkEncoder(path)
+    lines = ["Oure.\nAnd so,\nété!! rr$$$", "a\nb", "a:\n(b)\n;c", "it's\n's x.\n'", "a\tb\nc", " a\nb", "a\nb\n", "a\r\nb c", "a\n\nb", "\n", "x*** \ny&&&"]
+    lines += ["a <|endoftext|>\n<|endoftext|> b\n<|startoftext|>", "a\n1st 2\n3", "A\u0301\nA\u0301 b", "a<\u0338\nb>\u0338 c", "a\x1cb\n\u3000c", "x_y_\n_z"]
+    for text in lines:
+        assert encoder.ids(text).tolist() == [*encode(text), 0], text
+    asked = []
+    library = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda chunks: asked.extend(chunks) or library(chunks))
+    text = "Tonthe.\nAnthere whon$$$ èrea***\nÉtion,\nwha!! onhe&&&"
+    assert encoder.ids(text).tolist() == [*encode(text), 0]
+    assert not any(c.isalpha() for chunk in asked for c in chunk)
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
