@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from faultatlas.operators import graph, impact, python_source, reach, repo_map, resolution, text_patterns
@@ -387,3 +389,21 @@ def test_places_with_several_entries_meet_a_caller_once(corpus, capsys):
     ], key=str)
     # The rows of all roles are not dealt out once more to be compared.
     assert "Union" in plan[0]
+
+
+def test_a_worker_parses_in_children_that_end(monkeypatch):
+    """The parser never lets go of the names it reads, so no process parses more than one batch of files."""
+    sources = pa.record_batch({"repo_key": ["r"] * 3, "path": ["a.py", "b.py", "c.py"], "content": ["x = 1\n", "def f(:\n", None]})
+    monkeypatch.setattr(python_source, "_facts", lambda path, content: [{"kind": "error", "name": path, "line_start": os.getpid()}])
+    for errors_only in (False, True):
+        batches = list(python_source._parse_task(errors_only)(iter([sources, sources.slice(0, 0), sources.slice(1)])))
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        assert [row["name"] for row in rows] == ["a.py", "b.py", "c.py", "b.py", "c.py"]
+        first, second = {row["line_start"] for row in rows[:3]}, {row["line_start"] for row in rows[3:]}
+        assert len(first) == len(second) == 1 and len(first | second | {os.getpid()}) == 3
+    taken = python_source._parse_task(errors_only=False)(iter([sources] * 3))
+    next(taken)
+    taken.close()
+    monkeypatch.setattr(python_source, "_facts", lambda path, content: os._exit(3))
+    with pytest.raises((RuntimeError, pa.ArrowInvalid)):
+        list(python_source._parse_task(errors_only=False)(iter([sources])))
