@@ -67,14 +67,17 @@ class Packer:
     """Bins of one shard: lists of piece numbers, each with at most ``capacity`` ids."""
 
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
-        self.lengths = [int(x) for x in lengths]
+        self.sizes = np.array(lengths, np.int64)
+        self.lengths = self.sizes.tolist()
+        self.shorter = (-self.sizes).tolist()
         self.capacity = capacity
         self.random = np.random.default_rng(seed)
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def best_fit(self, bins: list[list[int]], pieces: list[int]) -> list[list[int]]:
         """Put pieces, longest first, where they leave the least room."""
         free = sorted((self.capacity - self.filled(b), k) for k, b in enumerate(bins))
-        for piece in sorted(pieces, key=lambda p: -self.lengths[p]):
+        for piece in sorted(pieces, key=self.shorter.__getitem__):
             size = self.lengths[piece]
             at = bisect.bisect_left(free, (size, -1))
             if at < len(free):
@@ -88,7 +91,7 @@ class Packer:
         return bins
 
     def filled(self, one: list[int]) -> int:
-        return sum(self.lengths[p] for p in one)
+        return sum(map(self.lengths.__getitem__, one))
 
     def fitness(self, bins: list[list[int]]) -> tuple[int, float]:
         """Fewer bins first, then fuller ones."""
@@ -132,30 +135,38 @@ class Packer:
         displaced pieces shorter.  Pairs are formed of up to ``pairs_of`` displaced
         pieces and of bins with up to 16; the others are exchanged one by one.
         """
-        displaced, sums, sets = list(displaced), None, []
+        left, sums, lengths = np.array(displaced, np.int64), None, self.lengths
+        small = np.int16 if 2 * self.capacity < 1 << 15 else np.int64
         for k in self.random.permutation(len(bins)):
             one = bins[k]
             room = self.capacity - self.filled(one)
-            if not room or not displaced:
+            if not room or not len(left):
                 continue
             if sums is None:
-                sets = [(p,) for p in displaced] + list(itertools.combinations(displaced[:pairs_of], 2))
-                sums = np.array([sum(self.lengths[p] for p in x) for x in sets])
+                # Single displaced pieces, then pairs of the first ones, by their length.
+                sizes = self.sizes[left]
+                n = min(pairs_of, len(left))
+                if n not in self.pairs:
+                    self.pairs[n] = np.triu_indices(n, 1)
+                x, y = self.pairs[n]
+                # Small types are sorted by their digits.
+                sums = np.concatenate([sizes, sizes[x] + sizes[y]]).astype(small)
                 order = np.argsort(sums, kind="stable")
-                sums, sets = sums[order], [sets[i] for i in order]
+                sums = sums[order].astype(np.int64)
             out = [(p,) for p in one] + (list(itertools.combinations(one, 2)) if len(one) <= 16 else [])
-            sizes = np.array([sum(self.lengths[p] for p in x) for x in out])
-            at = np.searchsorted(sums, sizes + room, "right") - 1
-            gain = np.where(at >= 0, sums[at], 0) - sizes
+            taken_out = np.array([lengths[p[0]] if len(p) == 1 else lengths[p[0]] + lengths[p[1]] for p in out])
+            at = np.searchsorted(sums, taken_out + room, "right") - 1
+            gain = np.where(at >= 0, sums[at], 0) - taken_out
             best = int(gain.argmax())
             if gain[best] <= 0:
                 continue
-            taken, left = sets[at[best]], out[best]
-            bins[k] = [p for p in one if p not in left] + list(taken)
-            displaced = [p for p in displaced if p not in taken] + list(left)
-            self.random.shuffle(displaced)
+            number, gone = int(order[at[best]]), out[best]
+            here = [number] if number < len(left) else [int(x[number - len(left)]), int(y[number - len(left)])]
+            bins[k] = [p for p in one if p not in gone] + left[here].tolist()
+            left = np.concatenate([np.delete(left, here), gone])
+            self.random.shuffle(left)
             sums = None
-        return displaced
+        return left.tolist()
 
     def evolve(self, start: list[list[list[int]]], population: int, generations: int) -> list[list[int]]:
         """Best packing after a number of generations; stops at the bound by total length."""

@@ -119,11 +119,12 @@ class ChunkEncoder:
         if not plain:
             found[0] = self._encode(words[:1])[0]
         if None in found:
-            new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            fresh = self._learn(new)
-            if len(known) + len(new) <= self.remembered:
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            fresh = self._learn(list({words[k] for k in missing}))
+            if len(known) + len(fresh) <= self.remembered:
                 known.update(fresh)
-            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            for k in missing:
+                found[k] = fresh[words[k]]
         # The first word was looked up as one behind a line end, where that makes a difference.
         body = b"".join(found)
         return body[len(self.line_end) :] if plain else body

@@ -163,6 +163,20 @@ def test_exchange_fills_bins_and_loses_nothing():
     assert packer.exchange([], [1, 2]) == [1, 2]
 
 
+def test_exchange_forms_pairs_on_arrays(monkeypatch):
+    """One list of all pairs of displaced pieces per exchange made a generation take most of a second."""
+    random = np.random.default_rng(4)
+    packer = packing.Packer(random.integers(200, 1100, 600), 2048, 5)
+    longest = []
+    combinations = packing.itertools.combinations
+    monkeypatch.setattr(packing.itertools, "combinations", lambda of, n: longest.append(len(of)) or combinations(of, n))
+    bins = packer.best_fit([], list(range(500)))
+    left = packer.exchange(bins, list(range(500, 600)))
+    assert sorted([p for one in bins for p in one] + left) == list(range(600))
+    assert all(packer.filled(one) <= 2048 for one in bins)
+    assert max(longest) <= 16
+
+
 def test_sampled_pieces_decode_to_their_text(spark):
     rows = helpers.odd_rows()
     docs = helpers.frame(spark, rows)
