@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultatlas.llm.components import components
@@ -227,11 +227,13 @@ def _links(
     last round compares every class outside the largest group with all of the list
     that is not in its own group.
     """
-    entries = cut(_entries(bodies, order, words, percent, seed))
-    # Shingles that at least two classes have in their prefixes.
-    common = entries.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    # Shingles that at least two classes have in their prefixes; the others are moved once and not written.
+    same = Window.partitionBy("token")
+    entries = _entries(bodies, order, words, percent, seed)
+    entries = entries.withColumn("x", F.min("node").over(same)).withColumn("y", F.max("node").over(same))
+    common = entries.where("x <> y").select("token", "node", "n", "at")
     first = classes.select("node", "first_id")
-    met = cut(entries.join(common, "token").distinct().join(first, "node").withColumn("component", F.col("node")))
+    met = cut(common.distinct().join(first, "node").withColumn("component", F.col("node")))
     found = tried = empty(bodies.sparkSession, "a long, b long")
     for turn in range(pivot_rounds + 1):
         # The first pivot is the smallest id, since copies tend to come after their original.

@@ -96,6 +96,18 @@ def test_groups_equal_all_pairs(spark, similar_rows):
     assert jaccard.first_of_groups(docs.limit(0)).count() == 0
 
 
+def test_prefixes_that_meet_no_other_are_not_written(spark, monkeypatch):
+    alike = " ".join(f"w{k}" for k in range(40))
+    docs = helpers.frame(spark, [(k, " ".join(f"x{k}y{j}" for j in range(40))) for k in range(20)] + [(100, alike), (101, alike + " z"), (102, alike)])
+    written = []
+    cut = jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda table: written.append(cut(table)) or written[-1])
+    got = jaccard.similar_groups(docs).collect()
+    assert {r.doc_id: r.component_id for r in got} == {**{k: k for k in range(20)}, 100: 100, 101: 100, 102: 100}
+    prefixes = [table for table in written if {"token", "node", "n", "at"} <= set(table.columns)]
+    assert max(table.select("node").distinct().count() for table in prefixes) == 2
+
+
 def test_prefixes_and_filters_lose_no_similar_pair():
     pick = random.Random(5)
     for _ in range(3000):
